@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ngram_join, packing, quality, tokens
+from tessera.llm import chat, embedding_dedup, licenses, mixing, ngram_join, packing, quality, sharding, token_file, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(_table(spark, sf_dir, "documents"))
 
@@ -27,13 +35,35 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.counts(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.figures(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_ngram_jaccard_join, op5_token_counts, op10_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_license_scans, op2_best_fit_packing, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_token_counts,
+            op6_chat_formatting, op7_sharding, op8_source_mixing, op9_token_file, op10_quality_rules,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scans": licenses.oracle_sql(), "op6_chat_formatting": chat.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL}
