@@ -1,0 +1 @@
+"""Scenes arrive in batches here; no operator of this engine needs a stream."""
