@@ -8,16 +8,17 @@ sets form a class; classes are joined. All shingles stand in one global order: r
 * Small sets (up to ``boundary`` shingles) enumerate the pairs (subsets of size 2) of their prefix
   for k = 2; small sets meet where they have a subset in common.
 * Large sets, and small ones near enough to the boundary to link to a large one, enter inverted
-  lists, one per shingle of their prefix for k = 1. Sets made mostly of rare shingles need only the
-  first few: the first t of the union in hash order hold no common shingle with chance below
-  ``MISS`` (1e-12 per linked pair); others list the whole prefix.
+  lists, one per shingle of their prefix for k = 1. Of a long prefix the first few suffice: the first
+  t shingles of a union hold no common one with chance below ``MISS`` (1e-12 per linked pair). Sets
+  made mostly of frequent shingles use the plain hash order, the others the rare-first order, those
+  between use both, so that linked sets always have an order in common.
 * ``boundary`` is the size up to which enumerating costs less than listing and scanning.
 
-Lists are scanned in two rounds. Round one pairs each member with the list's smallest; verified
-pairs are united. Round two takes the longer lists that still hold several components and pairs
-members of different components. A bottom-k sketch discards pairs that are far from the threshold
-(error below 1e-7), the others are verified on their exact sets. So a group of near copies costs
-its size, not its square.
+Scanning: short lists give all their pairs. Long lists are compared through bottom-k sketches in
+two rounds: first each set only with the most central set it resembles, then, when the verified pairs
+have been united, with sets of other components. Lists above ``TILE`` sets are dealt out as
+pairs of tiles. A sketch discards a pair only when it is far from the threshold (error below 1e-7);
+all others are verified on their exact sets. So a group of near copies costs about its size in pairs.
 
 Null or empty texts and texts without words have an empty set and link with nothing. Fewer than five
 words make one shingle, the whole sequence. Repeated rows and null ids are kept: each row gets its
@@ -54,11 +55,17 @@ FREQUENT = 32
 COUNTED = 4096
 #: A pair that must be verified costs as much as so many rows of a list.
 VERIFY_COST = 20.0
-SKETCH = 64
-#: Fewer equal sketch entries than this: the similarity is below the threshold (chance 1e-8).
-SKETCH_LEAST = 28
-#: Lists with more sets than this go to round two; shorter ones pair all their sets at once.
+SKETCH = 512
+#: Fewer equal sketch entries than this: the similarity is below the threshold (error 1e-8).
+SKETCH_LEAST = 322
+#: Lists with more sets than this are compared by sketches; shorter ones pair all their sets.
 SHORT_LIST = 6
+#: Sets of a list that are compared in one task.
+TILE = 4096
+#: Sets with this share of frequent shingles, or more, use the hash order ...
+HASH_ORDER_FROM = 0.6
+#: ... and those below this one the rare-first order. A set below 0.6 links to none above 0.8.
+RARE_ORDER_BELOW = 0.81
 
 
 def needed(n: int) -> int:
@@ -71,7 +78,7 @@ def listed(n: int, frequent: int) -> int:
     full = n - needed(n) + 1
     rare = 1 - frequent / n
     other = (100 / PERCENT - 1) / rare if rare > 0 else 1.0  # the greatest share of rare shingles not in common
-    return full if other >= 0.85 else min(full, math.ceil(math.log(MISS) / math.log(other)))
+    return full if other >= 0.97 else min(full, math.ceil(math.log(MISS) / math.log(other)))
 
 
 def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -173,8 +180,12 @@ def _postings(docs: DataFrame, text_col: str, frequent, small: int) -> DataFrame
                         i, j = np.triu_indices(len(p), 1)
                         own.append(mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + mix(p[j])))
                     if n > small or n >= low:
-                        own.append(o[: listed(n, int(table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].sum()))])
-                    k = np.concatenate(own)
+                        f = int(table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].sum())
+                        if f >= HASH_ORDER_FROM * n:
+                            own.append(s[: listed(n, 0)])
+                        if f < RARE_ORDER_BELOW * n:
+                            own.append(o[: listed(n, f)])
+                    k = np.unique(np.concatenate(own))
                     keys.append(k)
                     owners.append(cls)
                     counts.append(len(k))
@@ -191,7 +202,7 @@ def _links_possible(a: int, b: int) -> bool:
 
 
 def _scan_lists(postings: DataFrame) -> DataFrame:
-    """Round one. ``long`` false: pairs (a, b); ``long`` true: entries (key, a, n) of lists for round two."""
+    """``long`` false: pairs (a, b) of short lists; ``long`` true: entries (key, a, n) of long ones."""
     schema = "long boolean, key long, a binary, b binary, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,16 +241,8 @@ def _scan_lists(postings: DataFrame) -> DataFrame:
                     continue
                 if not is_long:
                     is_long = True
-                    for c, m in head:
-                        out.append((True, key, c, None, m))
-                        if c != head[0][0] and _links_possible(head[0][1], m):
-                            out.append((False, None, head[0][0], c, None))
-                    lead = head[0]
+                    out.extend((True, key, c, None, m) for c, m in head)
                 out.append((True, key, cls, None, n))
-                if not _links_possible(lead[1], n):
-                    lead = (cls, n)
-                else:
-                    out.append((False, None, lead[0], cls, None))
             if len(out) > 10_000:
                 yield emit()
         if not is_long:
@@ -250,37 +253,111 @@ def _scan_lists(postings: DataFrame) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, schema)
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sketches allow a link."""
-    if len(x) < SKETCH or len(y) < SKETCH:
-        return True
-    both = np.sort(np.concatenate([x, y]))
-    same = both[1:] == both[:-1]
-    distinct = np.cumsum(np.concatenate([[True], ~same]))
-    return int(same[distinct[1:] <= SKETCH].sum()) >= SKETCH_LEAST
-
-
-def _scan_components(members: DataFrame) -> DataFrame:
-    """Round two: pairs of sets in different components of a list (``key``, ``cls``, ``n``, ``root``,
-    ``sketch``). Nothing is kept of a list but what can still link to the sets to come."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, window = None, []
-        for batch in batches:
-            a, b = [], []
-            for k, cls, n, root, sketch in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                sk = np.frombuffer(sketch, np.uint32)
-                if k != key:
-                    key, window = k, []
-                window = [w for w in window if _links_possible(w[1], n)] if window and not _links_possible(window[0][1], n) else window
-                for c, _, r, s in window:
-                    if r != root and c != cls and _alike(s, sk):
-                        a.append(c)
-                        b.append(cls)
-                window.append((cls, n, root, sk))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return members.select("key", "cls", "n", "root", "sketch").repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, "a binary, b binary").distinct()
+def _alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of two sketch matrices allow a link. A sketch shorter than ``SKETCH`` holds
+    its whole set; two such decide the pair but for one entry that may have met another in 32 bits."""
+    pad = np.arange(SKETCH, dtype=np.int64)
+    x = np.where(pad < nx[:, None], x, pad + (1 << 33))
+    y = np.where(pad < ny[:, None], y, pad + (1 << 34))
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    same = both[:, 1:] == both[:, :-1]
+    common = (same & (np.cumsum(~same, axis=1) + 1 <= SKETCH)).sum(axis=1)
+    whole = (nx < SKETCH) & (ny < SKETCH)
+    every = same.sum(axis=1)
+    return np.where(whole, 100 * (every + 1) >= PERCENT * (nx + ny - every - 1), common >= SKETCH_LEAST)
+
+
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(sketches), SKETCH), np.int64)
+    for i, s in enumerate(sketches):
+        v = np.frombuffer(s, np.uint32)
+        out[i, : len(v)] = v
+    return out
+
+
+class _List:
+    """The sets of one list, or of two tiles of it, for comparison by sketches."""
+
+    def __init__(self, rows: dict[str, list]):
+        self.cls, self.tile = rows["cls"], np.array(rows["tile"])
+        self.n, self.root = np.array(rows["n"], np.int64), np.array(rows["root"], object)
+        self.sketch = _matrix(rows["sketch"])
+        real = np.arange(SKETCH) < np.minimum(self.n, SKETCH)[:, None]
+        row = np.repeat(np.arange(len(self.n)), real.sum(axis=1))
+        _, col, count = np.unique(self.sketch[real], return_inverse=True, return_counts=True)
+        kept = count[col] > 1
+        self.row, self.col, self.weight = row[kept], col[kept], np.bincount(row, count[col])
+        self.bounds = np.searchsorted(self.row, np.arange(len(self.n) + 1))
+        order = np.argsort(self.col, kind="stable")
+        self.owners, self.starts = self.row[order], np.concatenate([[0], np.cumsum(np.bincount(self.col, minlength=len(count)))])
+
+    def resembling(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` (bool) whose sketch allows a link to set i."""
+        cols = self.col[self.bounds[i] : self.bounds[i + 1]]
+        met = np.concatenate([self.owners[self.starts[c] : self.starts[c + 1]] for c in cols.tolist()]) if len(cols) else np.zeros(0, np.int64)
+        common = np.bincount(met, minlength=len(self.n))
+        small, large = np.minimum(self.n, self.n[i]), np.maximum(self.n, self.n[i])
+        # whole sets need their overlap; of others at least SKETCH_LEAST of the union's first are common
+        least = np.where(large < SKETCH, -(-PERCENT * (large + small) // (100 + PERCENT)) - 1, np.minimum(SKETCH_LEAST, small))
+        j = np.flatnonzero(others & (common >= least) & (100 * small >= PERCENT * large))
+        j = j[j != i]
+        if len(j):
+            k = np.full(len(j), i)
+            j = j[_alike(self.sketch[k], self.sketch[j], self.n[k], self.n[j])]
+        return j
+
+
+def _scan_long(members: DataFrame, first: bool) -> DataFrame:
+    """Pairs of sets of long lists (``key``, ``x``, ``y``: a list's pair of tiles; ``tile``, ``cls``,
+    ``n``, ``root``, ``sketch``, ``keys``: the set's long lists). First round: each set with the most
+    central one that it resembles. Then: sets of different components, in the first list they share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {c: table.column(c).to_pylist() for c in ("cls", "n", "root", "sketch", "tile")}
+        a, b = [], []
+        if len(rows["cls"]) > 1:
+            x = _List(rows)
+            key, cross = table.column("key")[0].as_py(), table.column("x")[0].as_py() != table.column("y")[0].as_py()
+            if first:
+                free = np.ones(len(x.n), bool)
+                for i in np.argsort(-x.weight / np.minimum(x.n, SKETCH), kind="stable").tolist():
+                    if free[i]:
+                        free[i] = False
+                        j = x.resembling(i, free)
+                        free[j] = False
+                        a += [x.cls[i]] * len(j)
+                        b += [x.cls[k] for k in j.tolist()]
+            else:
+                keys = [set(k) for k in table.column("keys").to_pylist()]
+                number = np.unique(np.array([r.hex() for r in rows["root"]]), return_inverse=True)[1]
+                # sets of the largest component are compared from the others' side only
+                most = np.bincount(number).argmax()
+                later = np.ones(len(x.n), bool)
+                for i in np.flatnonzero(number != most).tolist():
+                    later[i] = False
+                    others = (later | (number == most)) & (number != number[i])
+                    if cross:
+                        others &= x.tile != x.tile[i]
+                    for j in x.resembling(i, others).tolist():
+                        if min(keys[i] & keys[j]) == key:
+                            a.append(x.cls[i])
+                            b.append(x.cls[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return members.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _members(entries: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries of lists with several components, dealt out by pairs of tiles. Without ``roots``
+    each set is a component."""
+    found = entries.withColumn("root", F.col("cls"))
+    if roots is not None:
+        found = entries.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    kept = found.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    own = kept.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "sketch"), "cls")
+    dealt = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "cls", "n", "root", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+    return dealt.join(own, "cls")
 
 
 def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -290,10 +367,12 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                keep = _alike(_matrix(part.column(2).to_pylist()), _matrix(part.column(3).to_pylist()), part.column(4).to_numpy(), part.column(5).to_numpy())
+                yield part.select([0, 1]).filter(pa.array(keep))
 
-    likely = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(near, "a binary, b binary"), "likely")
+    likely = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(near, "a binary, b binary"), "likely")
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
     bits = 22
 
@@ -321,7 +400,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
                         found.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
-    full = store(docs.select(F.col(text_col)).mapInArrow(sets, "cls binary, shingles binary").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    full = store(docs.select(F.col(text_col)).mapInArrow(sets, "cls binary, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +431,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
     spark = docs.sparkSession
     summary = store(_summaries(docs, id_col, text_col), "summary")
     rows = summary.where("kind = 0").select("id", "n", "cls", "sketch")
-    classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = store(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(FREQUENT, 4 * math.ceil(total / (1 << COUNTER_BITS)))
     frequent = reached(summary.where("kind = 1").select("piece", "payload"), COUNTER_BITS, least)
@@ -362,18 +441,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
         small = boundary((held["live"] or 0) / held["all"] if held["all"] else 0.0)
 
     found = store(_scan_lists(_postings(docs, text_col, table, small)), "lists")
-    links = _verify(docs, text_col, classes, found.where("not long").select("a", "b").distinct())
-    roots = components(links)
     entries = found.where("long").select("key", F.col("a").alias("cls"), "n")
-    if not entries.isEmpty():
-        entries = entries.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        entries = store(entries, "entries")
-        mixed = entries.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        members = entries.join(mixed, "key", "left_semi").join(classes.select("cls", "sketch"), "cls")
-        more = store(_scan_components(members), "pairs")
-        if not more.isEmpty():
-            links = store(links.union(_verify(docs, text_col, classes, more)), "links")
-            roots = components(links)
+    central = _scan_long(_members(entries, classes, None), True)
+    pairs = store(found.where("not long").select("a", "b").union(central).distinct(), "pairs")
+    links = _verify(docs, text_col, classes, pairs)
+    roots = components(links)
+    more = store(_scan_long(_members(entries, classes, roots), False), "pairs")
+    if not more.isEmpty():
+        links = store(links.union(_verify(docs, text_col, classes, more)), "links")
+        roots = components(links)
     rows = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("id", F.col("n").alias("n_shingles"), "cls", F.coalesce("root", "cls").alias("root"))
     return Joined(rows, links, small)
 
@@ -388,3 +464,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smal
     return rows.join(least, "root", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id; texts without words stay.
+
+    Equal rows of the id that stays are reduced to one. A null id is not told from another null id:
+    rows without id stay.
+    """
+    found = groups(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    found = store(found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("times")), "groups")
+    kept = docs.join(found.where(F.col("least") < F.col(id_col)).select(id_col), id_col, "left_anti")
+    again = found.where((F.col("times") > 1) & (F.col("least") == F.col(id_col)) & (F.col("most") > 0)).select(id_col)
+    if not again.isEmpty():
+        kept = kept.join(again, id_col, "left_anti").union(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.select(*docs.columns)
