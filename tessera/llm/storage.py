@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, tag: str, codec: str = "lz4_raw") -> DataFrame:
+def store(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns a DataFrame that reads it.
 
     An empty ``df`` keeps its schema. Columns must have distinct names.
