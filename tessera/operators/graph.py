@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.cost import cost
 from tessera.operators import kernels
 from tessera.operators.focal import neighbour_pairs
+from tessera.operators.state import checkpointed
 
 
 def seam_edges(pair: DataFrame, method: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -96,14 +97,14 @@ def components(cells: DataFrame, keys: list[str], eight: bool = True, max_rounds
         near = links.join(labels.withColumnRenamed("id", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = labels.select(*keys, F.col("id").alias("low"), F.col("label").alias("up"))
-        new = low.join(jump, [*keys, "low"]).select(*keys, "id", "old", F.least("low", "up").alias("label")).checkpoint()
+        new = checkpointed(low.join(jump, [*keys, "low"]).select(*keys, "id", "old", F.least("low", "up").alias("label")))
         labels = new.select(*keys, "id", "label")
         if new.where("old <> label").isEmpty():
             break
     else:
         raise RuntimeError("labels still change")
     named = labels.join(runs, [*keys, "id"])
-    return named.select(*keys, "r", F.explode(F.sequence("lo", "hi")).cast("int").alias("c"), "label")
+    return named.select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "label").withColumn("c", F.col("c").cast("int"))
 
 
 def component_sizes(labelled: DataFrame, keys: list[str]) -> DataFrame:

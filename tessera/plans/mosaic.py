@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.cost import COSTS
 from tessera.operators import align, blending, graph, kernels
+from tessera.operators.state import checkpointed
 
 
 def seam_weight(mosaic: np.ndarray, scene: np.ndarray, method: str = "a6c_int", size: int = 57, resample: int = 1) -> np.ndarray:
@@ -85,7 +86,7 @@ def mosaic(scenes: list[tuple[int, DataFrame]], height: int, width: int, method:
         gray = lambda d, name: d.groupBy("r", "c").agg(F.max("dn").alias(name))
         pair = gray(out, "mosaic").join(gray(px, "scene"), ["r", "c"], "full").fillna(0).withColumn("pair_id", F.lit(number))
         weight = pair_weights(pair, "pair_id", height, width, method, size)
-        out = blending.feather_blend(out, px, weight.select("r", "c", "k"), ("band",)).checkpoint()
+        out = checkpointed(blending.feather_blend(out, px, weight.select("r", "c", "k"), ("band",)))
     return out
 
 
