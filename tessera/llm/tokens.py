@@ -24,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.memory import released
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Texts are encoded in groups of about so many bytes; a longer text makes a group of its own, and
 #: is encoded in parts of this size where it can be cut.
 GROUP_BYTES = 8 << 20
 #: Chunks whose ids a worker remembers; beyond it starts anew.
 MEMORY_CHUNKS = 900_000
+#: Letters and digits that stay one letter under composition and lower-casing.
+_STABLE = r"a-zA-Z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}\x{400}-\x{481}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
 #: A text that matches is encoded whole.
-UNSAFE = r"[ \n][ \n]|^[ \n]|[ \n]$|[^\pL\pN][,.][ \n]|^[,.][ \n]|[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]|<\||[ \n][\pM]"
+UNSAFE = r'[ \n][ \n]|^[ \n]|[ \n]$|[^' + _STABLE + r'][,.][ \n]|^[,.][ \n]|[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]|<\||[ \n][\pM]'
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -228,4 +232,4 @@ def counts(docs: DataFrame, name: str = WORD_BPE, limit: int = 2048, id_col: str
                     tokens[i + np.flatnonzero(unsafe)] = [len(x) for x in encoder.whole(texts.filter(pa.array(unsafe)).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(tokens), pa.array(tokens > limit)], names=[batch.schema.names[0], "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema)
