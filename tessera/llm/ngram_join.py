@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.bits import pieces, reached
 from tessera.llm.components import components
+from tessera.llm.memory import released
 from tessera.llm.storage import store
 from tessera.llm.words import mix, scans, shingle_sets
 
@@ -140,7 +141,7 @@ def _summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if since:
             yield flush()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema)
 
 
 def boundary(mean_live: float) -> int:
@@ -194,7 +195,7 @@ def _postings(docs: DataFrame, text_col: str, frequent, small: int) -> DataFrame
                     at = np.repeat(np.arange(len(owners)), counts)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owners, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at])], names=["key", "cls", "n"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "key long, cls binary, n long")
+    return docs.select(F.col(text_col)).mapInArrow(released(run), "key long, cls binary, n long")
 
 
 def _links_possible(a: int, b: int) -> bool:
@@ -250,7 +251,7 @@ def _scan_lists(postings: DataFrame) -> DataFrame:
         yield emit()
 
     # the list of a key stands together and its sets are ordered by size, then class
-    return postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, schema)
+    return postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(released(run), schema)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -372,7 +373,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
                 keep = _alike(_matrix(part.column(2).to_pylist()), _matrix(part.column(3).to_pylist()), part.column(4).to_numpy(), part.column(5).to_numpy())
                 yield part.select([0, 1]).filter(pa.array(keep))
 
-    likely = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(near, "a binary, b binary"), "likely")
+    likely = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(released(near), "a binary, b binary"), "likely")
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
     bits = 22
 
@@ -384,7 +385,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
         numbers, payloads = pieces(counts)
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["piece", "payload"])
 
-    mask = spark.sparkContext.broadcast(np.packbits(reached(wanted.mapInArrow(marks, "piece int, payload binary"), bits, 1)).tobytes())
+    mask = spark.sparkContext.broadcast(np.packbits(reached(wanted.mapInArrow(released(marks), "piece int, payload binary"), bits, 1)).tobytes())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(mask.value, np.uint8)).view(bool)
@@ -400,7 +401,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
                         found.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(found, pa.binary())], names=["cls", "shingles"])
 
-    full = store(docs.select(F.col(text_col)).mapInArrow(sets, "cls binary, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    full = store(docs.select(F.col(text_col)).mapInArrow(released(sets), "cls binary, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,7 +414,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: full.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
-    return store(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary"), "links")
+    return store(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(compare), "a binary, b binary"), "links")
 
 
 @dataclass

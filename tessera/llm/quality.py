@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm.memory import released
 from tessera.llm.words import Scan, mix, scans, window_hashes
 
 MIN_WORDS = 50
@@ -188,7 +189,7 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             arrays = [pa.array(np.concatenate([p[f.name] for p in parts]) if parts else [], f.type) for f in target]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[batch.schema.names[0], *target.names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(released(run), schema)
 
 
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -219,4 +220,4 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
                 columns[chars_at] = pa.array([len(t) for t in texts], batch.schema.field(chars_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import huffman
+from tessera.llm.memory import released
 from tessera.llm.storage import shared_dir, store
 from tessera.llm.tokens import BYTE_BPE, encode
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
+#: Chunks the encoder remembers here: this operator keeps little else in memory.
+MEMORY_CHUNKS = 900_000
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -41,7 +44,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i, flat, bounds in encode(batch.column(1), tokenizer):
+            for i, flat, bounds in encode(batch.column(1), tokenizer, MEMORY_CHUNKS):
                 n = np.diff(bounds) + 1
                 ids = np.insert(flat, bounds[1:], end_id)
                 wide = len(ids) and ids.max() > 0xFFFF
@@ -55,7 +58,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
 
     order = [F.col(id_col).asc_nulls_first(), F.col(text_col)]
     ready = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(*order)
-    return store(ready.mapInArrow(run, schema), "tokens", "zstd")
+    return store(ready.mapInArrow(released(run), schema), "tokens", "zstd")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -74,7 +77,7 @@ def _counts(tokens: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row per id of the vocabulary
+    rows = tokens.select("n", "ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row per id of the vocabulary
     out = np.zeros(int(rows.id.max()) + 1 if len(rows) else 1, np.int64)
     out[rows.id.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return out
@@ -117,7 +120,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = E
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
-    tokens.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    tokens.mapInArrow(released(run), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
 
@@ -142,7 +145,7 @@ def _decoded(spark: SparkSession, path: str, emit, fields: list[T.StructField])
                     out += [emit(block[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1).flatten(), pa.array(start), pa.array(n), pa.array(out)], names=schema.names)
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(released(run), schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -29,9 +29,9 @@ from tessera.llm.memory import released
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Texts are encoded in groups of about so many bytes; a longer text makes a group of its own, and
 #: is encoded in parts of this size where it can be cut.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Chunks whose ids a worker remembers; beyond it starts anew.
-MEMORY_CHUNKS = 900_000
+MEMORY_CHUNKS = 500_000
 #: Letters and digits that stay one letter under composition and lower-casing.
 _STABLE = r"a-zA-Z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}\x{400}-\x{481}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
 #: A text that matches is encoded whole.
@@ -59,6 +59,7 @@ class Encoder:
         tab = self.whole(["\t"])[0]
         self.tab = int(tab[0]) if self.keeps_space and len(tab) == 1 else -1
         self.known: dict[str, bytes] = {}
+        self.memory = MEMORY_CHUNKS
 
     @classmethod
     def get(cls, name: str) -> "Encoder":
@@ -74,7 +75,7 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         """Encodes chunks that are new. With the byte vocabulary all are joined by tabs: a tab beside
         a chunk is a token of its own, and no chunk holds one."""
-        if len(self.known) + len(chunks) > MEMORY_CHUNKS:
+        if len(self.known) + len(chunks) > self.memory:
             self.known.clear()
         if self.tab >= 0:
             chunks = self._learn_letters(chunks)
@@ -161,9 +162,11 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         i, done = j, int(ends[j - 1])
 
 
-def encode(column: pa.Array, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each group of texts: the first one's place, all ids, and where each text's begin."""
+def encode(column: pa.Array, name: str, memory: int = MEMORY_CHUNKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each group of texts: the first one's place, all ids, and where each text's begin.
+    ``memory``: how many chunks to remember (about 250 bytes each)."""
     encoder = Encoder.get(name)
+    encoder.memory = memory
     for i, j in groups(column):
         texts = pc.fill_null(column.slice(i, j - i), "")
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)

@@ -17,7 +17,7 @@ import pyarrow as pa
 #: Bytes that separate words: space, \\t \\n \\v \\f \\r.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are scanned in groups of about so many bytes; a longer text makes a group of its own.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -35,7 +35,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse; those of ordinary groups are kept."""
     if _powers and len(_powers[0]) > n:
         return _powers[0], _powers[1]
-    size = max(n, GROUP_BYTES + (1 << 18)) + 1
+    size = max(n, GROUP_BYTES + (1 << 17)) + 1
     tables = []
     for base in (_BASE, _INVERSE):
         t = np.full(size, base, np.uint64)
