@@ -162,12 +162,12 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         i, done = j, int(ends[j - 1])
 
 
-def encode(column: pa.Array, name: str, memory: int = MEMORY_CHUNKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode(column: pa.Array, name: str, memory: int = MEMORY_CHUNKS, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each group of texts: the first one's place, all ids, and where each text's begin.
     ``memory``: how many chunks to remember (about 250 bytes each)."""
     encoder = Encoder.get(name)
     encoder.memory = memory
-    for i, j in groups(column):
+    for i, j in groups(column, group_bytes):
         texts = pc.fill_null(column.slice(i, j - i), "")
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         if not unsafe.any():
