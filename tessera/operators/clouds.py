@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import pixel
+from tessera.functions.grid import dense
 from tessera.operators import graph
+from tessera.operators.focal import dilated
+from tessera.operators.state import checkpointed
 
 
 def target_cells(mask: DataFrame) -> DataFrame:
@@ -37,13 +41,13 @@ def updated(mask: DataFrame, patch: DataFrame, flagged: DataFrame, land: DataFra
     return out.select("r", "c", code.alias("code"))
 
 
-def isolated(patch: DataFrame, mask: DataFrame, height: int, width: int) -> DataFrame:
-    """The candidate's clouds inside a patch (codes above 2, widened by 10 cells): ``flag`` per cell."""
-    from tessera.functions.grid import dense
-    from tessera.operators.focal import dilated
-
-    cloud = dense(mask.sparkSession, None, height, width).join(mask.select("r", "c", "code"), ["r", "c"], "left").withColumn("v", F.when(F.coalesce("code", F.lit(0)) > 2, 1).otherwise(0)).select("r", "c", "v")
-    return patch.join(dilated(cloud, 10), ["r", "c"]).withColumnRenamed("v", "flag")
+def isolated(patch: DataFrame, mask: DataFrame, height: int, width: int, grow: int = 10) -> DataFrame:
+    """``r``, ``c``, ``flag`` of every patch cell: 1 where the candidate is cloudy (codes above 2,
+    widened by ``grow`` cells) or where such clouds cut the cell off from the grid's upper left part."""
+    code = patch.select("r", "c").join(mask.select("r", "c", "code"), ["r", "c"]).select("r", "c", F.when(F.col("code") <= 2, 1).otherwise(F.least("code", F.lit(10))).alias("v"))
+    grid = dense(mask.sparkSession, None, height, width).withColumn("one", F.lit(1)).join(code, ["r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(1)))
+    open_ = graph.flooded(checkpointed(dilated(grid, grow)), ["one"], (1, 1), 0)
+    return patch.join(open_.select("r", "c", pixel.binary(F.col("v")).alias("flag")), ["r", "c"])
 
 
 def counters(scores: DataFrame) -> DataFrame:

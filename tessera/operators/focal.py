@@ -37,14 +37,14 @@ def dilated_cross(px: DataFrame, steps: int, height: int, width: int, value: str
     return px.join(hit, ["r", "c"], "left").withColumn(value, F.coalesce("hit", F.lit(0))).drop("hit")
 
 
-def reopened(eroded_: DataFrame, original: DataFrame, points: list[tuple[int, int]], size: int, margin: int = 30, value: str = "v") -> DataFrame:
+def reopened(eroded_: DataFrame, original: DataFrame, points: list[tuple[int, int]], size: int, margin: int = 30, value: str = "v", keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Squares around the seam's end points get their original values back (upper sides excluded)."""
     h = size // 2 + margin
     inside = F.lit(False)
     for r, c in points:
         inside = inside | ((F.col("r") >= r - h) & (F.col("r") < r + h) & (F.col("c") >= c - h) & (F.col("c") < c + h))
-    back = original.select("r", "c", F.col(value).alias("__was"))
-    return eroded_.join(back, ["r", "c"]).withColumn(value, F.when(inside, F.col("__was")).otherwise(F.col(value))).drop("__was")
+    back = original.select(*keys, "r", "c", F.col(value).alias("__was"))
+    return eroded_.join(back, [*keys, "r", "c"]).withColumn(value, F.when(inside, F.col("__was")).otherwise(F.col(value))).drop("__was")
 
 
 def gaussian_taps(size: int = 57, scale: int = 1 << 16) -> list[int]:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.cost import cost
 from tessera.operators import kernels
-from tessera.operators.focal import neighbour_pairs
+from tessera.operators.align import difference_cells
+from tessera.operators.focal import eroded, neighbour_pairs, reopened
 from tessera.operators.state import checkpointed
 
 
@@ -55,29 +56,6 @@ def seam_paths(edges: DataFrame, key: str, start: tuple[int, int], goal: tuple[i
     return edges.groupBy(key).applyInArrow(run, f"{key} {dict(edges.dtypes)[key]}, step int, r int, c int")
 
 
-def _on_grid(px: DataFrame, keys: list[str], value: str, height: int, width: int, kernel, out: str) -> DataFrame:
-    types = dict(px.dtypes)
-
-    def run(t: pa.Table) -> pa.Table:
-        grid = np.zeros((height, width), np.int64)
-        r, c = t.column("r").to_numpy(), t.column("c").to_numpy()
-        grid[r, c] = t.column(value).to_numpy()
-        res = kernel(grid)
-        r, c = np.indices(grid.shape, dtype=np.int32)
-        head = {k: pa.array([t.column(k)[0].as_py()] * grid.size, t.schema.field(k).type) for k in keys}
-        return pa.table(head | {"r": pa.array(r.reshape(-1)), "c": pa.array(c.reshape(-1)), out: pa.array(res.reshape(-1).astype(np.int64))})
-
-    return px.select(*keys, "r", "c", value).groupBy(*keys).applyInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + f", r int, c int, {out} long")
-
-
-def flooded(px: DataFrame, keys: list[str], height: int, width: int, seed: tuple[int, int] = (1, 1), fill: int = 0, value: str = "v") -> DataFrame:
-    return _on_grid(px, keys, value, height, width, lambda g: kernels.flood(g, seed, fill), value)
-
-
-def holes_filled(px: DataFrame, keys: list[str], height: int, width: int, value: str = "v") -> DataFrame:
-    return _on_grid(px, keys, value, height, width, kernels.fill_holes, value)
-
-
 def components(cells: DataFrame, keys: list[str], eight: bool = True, max_rounds: int = 60) -> DataFrame:
     """``keys``, ``r``, ``c``, ``label``: the least cell number of each cell's component.
 
@@ -107,6 +85,37 @@ def components(cells: DataFrame, keys: list[str], eight: bool = True, max_rounds
     return named.select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "label").withColumn("c", F.col("c").cast("int"))
 
 
+def flooded(px: DataFrame, keys: list[str], seed: tuple[int, int] = (1, 1), fill: int = 0, value: str = "v") -> DataFrame:
+    """``px`` with the area (4-connected, equal values) around the seed (row, col) set to ``fill``; a
+    grid without a row at the seed stays as it is."""
+    at_seed = (F.col("r") == seed[0]) & (F.col("c") == seed[1])
+    same = px.join(px.where(at_seed).select(*keys, F.col(value).alias("__seed")), keys).where(F.col(value) == F.col("__seed"))
+    areas = components(same, keys, eight=False)
+    hit = areas.join(areas.where(at_seed).select(*keys, "label"), [*keys, "label"], "left_semi").select(*keys, "r", "c", F.lit(1).alias("__hit"))
+    return px.join(hit, [*keys, "r", "c"], "left").withColumn(value, F.when(F.col("__hit") == 1, fill).otherwise(F.col(value))).drop("__hit")
+
+
+def holes_filled(px: DataFrame, keys: list[str], height: int, width: int, value: str = "v") -> DataFrame:
+    """A dense mask with those unset areas (4-connected) set that do not touch the grid's border."""
+    areas = components(px.where(F.col(value) == 0), keys, eight=False)
+    border = F.col("r").isin(0, height - 1) | F.col("c").isin(0, width - 1)
+    enclosed = areas.join(areas.where(border).select(*keys, "label").distinct(), [*keys, "label"], "left_anti").select(*keys, "r", "c", F.lit(1).alias("__in"))
+    return px.join(enclosed, [*keys, "r", "c"], "left").withColumn(value, F.when(F.col("__in") == 1, 1).otherwise(F.col(value))).drop("__in")
+
+
+def connecting_size(valid: DataFrame, keys: list[str], start: tuple[int, int], goal: tuple[int, int], sizes: tuple[int, ...], height: int, width: int, margin: int = 30) -> DataFrame:
+    """``keys``, ``size``: the first erosion after which the two ends are connected (4 neighbours);
+    no row where none of ``sizes`` connects them. ``valid`` is a dense mask."""
+    found = None
+    for place, size in enumerate(sizes):
+        open_ = reopened(eroded(valid, size, height, width, keys), valid, [start, goal], size, margin, keys=keys)
+        areas = checkpointed(components(open_.where("v > 0"), keys, eight=False))
+        a, b = (areas.where((F.col("r") == r) & (F.col("c") == c)).select(*keys, "label") for r, c in (start, goal))
+        hit = a.join(b, [*keys, "label"]).select(*keys, F.lit(place).alias("place"), F.lit(size).alias("size"))
+        found = hit if found is None else found.union(hit)
+    return found.groupBy(*keys).agg(F.min_by("size", "place").alias("size"))
+
+
 def component_sizes(labelled: DataFrame, keys: list[str]) -> DataFrame:
     """Size and box of every component."""
     return labelled.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
@@ -128,6 +137,14 @@ def main_regions(labelled: DataFrame, keys: list[str], least: int = 1000) -> Dat
     return big.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "label"))).withColumn("regions", F.count("*").over(Window.partitionBy(*keys)))
 
 
+def without_minor_pieces(union: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """A running union of footprints without those disconnected pieces of new minus old that are not
+    the largest one."""
+    pieces = components(difference_cells(new, old).withColumn("one", F.lit(1)), ["one"], eight=False)
+    minor = pieces.join(main_regions(pieces, ["one"], 0).where("place > 1").select("label"), "label", "left_semi")
+    return union.join(minor.select("r", "c"), ["r", "c"], "left_anti")
+
+
 def dominant_in_box(labelled: DataFrame, boxes: DataFrame, keys: list[str], height: int, width: int, pad: int = 10) -> DataFrame:
     """The component with most cells in each box widened by up to ``pad`` cells."""
     wide = boxes.select(*keys, F.col("label").alias("box"), F.greatest(F.lit(0), F.col("r0") - pad).alias("p0"), F.least(F.lit(height - 1), F.col("r1") + pad).alias("p1"), F.greatest(F.lit(0), F.col("c0") - pad).alias("q0"), F.least(F.lit(width - 1), F.col("c1") + pad).alias("q1"))
@@ -136,6 +153,19 @@ def dominant_in_box(labelled: DataFrame, boxes: DataFrame, keys: list[str], heig
     return counted.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "box").orderBy(F.desc("n"), "label"))).where("k = 1").drop("k")
 
 
+def seams_to_border(canvases: DataFrame, key: str, ends: tuple[tuple[int, int], tuple[int, int]], height: int, width: int, reach: int = 100) -> DataFrame:
+    """``key``, ``r``, ``c`` of the seam cells of each canvas (``v``: 0 free, 1 seam, 9 blocked) after
+    its two ends (row, col) have been drawn on to the border; a canvas is one group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        grid = np.zeros((height, width), np.int64)
+        grid[t.column("r").to_numpy(), t.column("c").to_numpy()] = t.column("v").to_numpy()
+        r, c = np.nonzero(border_connected(grid, ends, reach) == 1)
+        return pa.table({key: pa.array([t.column(key)[0].as_py()] * len(r), t.schema.field(key).type), "r": pa.array(r.astype(np.int32)), "c": pa.array(c.astype(np.int32))})
+
+    return canvases.select(key, "r", "c", "v").groupBy(key).applyInArrow(run, f"{key} {dict(canvases.dtypes)[key]}, r int, c int")
+
+
 def border_connected(seam: np.ndarray, ends: tuple[tuple[int, int], tuple[int, int]], reach: int = 100) -> np.ndarray:
     """A seam on a union canvas (1 on the seam, 9 where it may not pass) drawn on to the border: from
     each end through free cells to the nearest border cell within ``reach``, else straight lines."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import cost, grid, names, pixel
-from tessera.operators import focal, graph, kernels
+from tessera.operators import clouds, focal, graph, kernels
 from tessera.plans import mosaic
 from tessera.plans.params import Params
 
@@ -144,3 +144,61 @@ def test_parameters():
         Params(path_method="none")
     with pytest.raises(ValueError):
         Params(true_bits=65)
+
+
+def _table(spark, g):
+    return spark.createDataFrame([(1, r, c, int(g[r, c])) for r in range(g.shape[0]) for c in range(g.shape[1])], "scene int, r int, c int, v int")
+
+
+def _array(rows, shape, value="v"):
+    out = np.zeros(shape, np.int64)
+    for x in rows.collect():
+        out[x["r"], x["c"]] = x[value]
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_floods_and_holes_equal_the_kernels(spark, seed):
+    g = (np.random.default_rng(seed).random((14, 11)) < 0.45).astype(np.int64)
+    px = _table(spark, g)
+    assert (_array(graph.flooded(px, ["scene"], (1, 1), 5), g.shape) == kernels.flood(g, (1, 1), 5)).all()
+    assert (_array(graph.holes_filled(px, ["scene"], *g.shape), g.shape) == kernels.fill_holes(g)).all()
+    assert graph.flooded(px.where("r > 1"), ["scene"], (1, 1), 5).where("v = 5").count() == 0
+
+
+def test_clear_cells_that_clouds_enclose_are_flagged(spark):
+    mask = np.zeros((16, 16), np.int64)
+    mask[5:12, 5:12] = 9
+    mask[7:10, 7:10] = 0
+    patch = _table(spark, mask).where("r BETWEEN 3 AND 13 AND c BETWEEN 3 AND 13").select("r", "c")
+    flag = _array(clouds.isolated(patch, _table(spark, mask).withColumnRenamed("v", "code"), 16, 16, 1), mask.shape, "flag")
+    want = np.zeros_like(flag)
+    want[5:12, 5:12] = 1
+    assert (flag == want).all()
+
+
+def test_the_first_erosion_that_connects_is_taken(spark):
+    valid = np.ones((30, 30), np.int64)
+    valid[:, 14:17] = 0
+    valid[12:19, 14:17] = 1
+    px = _table(spark, valid)
+    ends = ((15, 5), (15, 25))
+    assert [r["size"] for r in graph.connecting_size(px, ["scene"], *ends, (9, 5, 3), 30, 30, 0).collect()] == [5]
+    assert graph.connecting_size(px, ["scene"], *ends, (11, 9), 30, 30, 0).count() == 0
+
+
+def test_seams_reach_the_border(spark):
+    g = np.zeros((12, 12), np.int64)
+    g[4, 3:9] = 1
+    g[0, :] = 9
+    out = _array(graph.seams_to_border(_table(spark, g), "scene", ((4, 3), (4, 8)), 12, 12).selectExpr("r", "c", "1 AS v"), g.shape)
+    assert (out[g == 1] == 1).all() and (out[g == 9] == 0).all()
+    assert kernels.label(out, eight=False).max() == 1 and out[:, 0].any() and out[:, -1].any()
+
+
+def test_minor_pieces_leave_the_union(spark):
+    cells = lambda at: spark.createDataFrame(at, "r int, c int")
+    old = cells([(5, c) for c in range(5)])
+    new = cells([(r, 2) for r in range(9)] + [(0, 9)])
+    left = {tuple(x) for x in graph.without_minor_pieces(new.union(old).distinct(), new, old).collect()}
+    assert left == {(r, 2) for r in range(6)} | {(5, c) for c in range(5)}

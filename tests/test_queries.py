@@ -7,7 +7,7 @@ import pytest
 
 from tessera.functions.grid import dense
 from tessera.operators import blending
-from tessera.plans.queries import QUERIES, SQL
+from tessera.plans.regions import QUERIES, SQL
 from tessera.sources import rasters
 
 SF = "/root/testdata/sf0.001"
