@@ -60,6 +60,7 @@ class Encoder:
         self.tab = int(tab[0]) if self.keeps_space and len(tab) == 1 else -1
         self.known: dict[str, bytes] = {}
         self.memory = MEMORY_CHUNKS
+        self.popular: pa.Array | None = None
 
     @classmethod
     def get(cls, name: str) -> "Encoder":
@@ -105,16 +106,38 @@ class Encoder:
                 rest.append(c)
         return rest
 
-    def _known(self, dictionary: pa.Array) -> list[bytes]:
-        names = dictionary.to_pylist()
+    def _known(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many chunks in one array; where those of each chunk begin, and how many they are.
+
+        Chunks that the group before shared with earlier ones are looked up in Arrow, the others by name.
+        """
+        if self.popular is None or self.popular.type != dictionary.type:
+            self._keep(pa.array([], dictionary.type), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        at = pc.fill_null(pc.index_in(dictionary, value_set=self.popular), -1).to_numpy()
+        rest = np.flatnonzero(at < 0)
+        names = dictionary.take(pa.array(rest)).to_pylist()
         found = list(map(self.known.get, names))
+        again = at >= 0
+        again[rest] = np.fromiter((k is not None for k in found), bool, len(found))
         if None in found:
             self._learn([c for c, k in zip(names, found, strict=True) if k is None])
             found = list(map(self.known.get, names))
             if None in found:  # the memory was cleared in between
                 self._learn([c for c, k in zip(names, found, strict=True) if k is None])
                 found = list(map(self.known.__getitem__, names))
-        return found
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
+        size, start = self.size[at], self.start[at]
+        size[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start[rest] = len(self.flat) + np.cumsum(size[rest]) - size[rest]
+        kept = np.flatnonzero(again)
+        self._keep(dictionary.take(pa.array(kept)), flat[_spread(start[kept], size[kept])], size[kept])
+        return flat, start, size
+
+    def _keep(self, names: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        """Remembers these as the popular chunks; the last place is for those that are not found."""
+        self.popular, self.flat = names, flat
+        self.size = np.append(size, 0)
+        self.start = np.cumsum(self.size) - self.size
 
     def _chunks(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Dictionary of the chunks of texts and where each text's chunks begin and end. A chunk keeps
@@ -132,26 +155,26 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and where each text's ids begin (one entry more)."""
         encoded, offsets = self._chunks(texts)
-        names_known = self._known(encoded.dictionary)
-        size = np.fromiter(map(len, names_known), np.int64, len(names_known)) // 4
-        flat = np.frombuffer(b"".join(names_known), np.uint32)
-        start = np.cumsum(size) - size
+        flat, start, size = self._known(encoded.dictionary)
         code = encoded.indices.to_numpy()
         n = size[code]
-        ends = np.cumsum(n)
-        place = np.repeat(start[code] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
-        return flat[place], bounds
+        bounds = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
+        return flat[_spread(start[code], n)], bounds
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         encoded, offsets = self._chunks(texts)
-        names_known = self._known(encoded.dictionary)
-        size = np.fromiter(map(len, names_known), np.int64, len(names_known)) // 4
+        size = self._known(encoded.dictionary)[2]
         total = np.concatenate([[0], np.cumsum(size[encoded.indices.to_numpy()])])
         bounds = total[offsets - offsets[0]]
         return bounds[1:] - bounds[:-1]
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``start`` and are ``n`` long, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` bytes; a longer text stands alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
