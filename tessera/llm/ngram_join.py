@@ -19,6 +19,11 @@ two rounds: first each set only with the most central set it resembles, then, wh
 have been united, with sets of other components. Lists above ``TILE`` sets are dealt out as
 pairs of tiles. A sketch discards a pair only when it is far from the threshold (error below 1e-7);
 all others are verified on their exact sets. So a group of near copies costs about its size in pairs.
+These pairs connect the components; they are not all links.
+
+Links are counted afterwards: each stands inside one component, so all sets of a component are compared
+exactly with each other, large components as pairs of tiles. Each pair meets once and gives a count for
+its sets, never a row.
 
 Null or empty texts and texts without words have an empty set and link with nothing. Fewer than five
 words make one shingle, the whole sequence. Repeated rows and null ids are kept: each row gets its
@@ -41,7 +46,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.bits import pieces, reached
 from tessera.llm.components import components
-from tessera.llm.memory import released
+from tessera.llm.memory import release, released
 from tessera.llm.storage import store
 from tessera.llm.words import mix, scans, shingle_sets
 
@@ -63,6 +68,11 @@ SKETCH_LEAST = 322
 SHORT_LIST = 6
 #: Sets of a list that are compared in one task.
 TILE = 4096
+#: Sets, and bytes of them, that a tile of a component holds when links are counted.
+COUNT_TILE = 2048
+COUNT_BYTES = 16 << 20
+#: Columns of an overlap that are multiplied at once.
+COLUMNS = 2048
 #: Sets with this share of frequent shingles, or more, use the hash order ...
 HASH_ORDER_FROM = 0.6
 #: ... and those below this one the rare-first order. A set below 0.6 links to none above 0.8.
@@ -361,8 +371,8 @@ def _members(entries: DataFrame, classes: DataFrame, roots: DataFrame | None) ->
     return dealt.join(own, "cls")
 
 
-def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that do link."""
+def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes that do link; the sets (``cls``, ``shingles``) of these and of others."""
     spark = docs.sparkSession
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
@@ -414,17 +424,114 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: full.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
-    return store(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(compare), "a binary, b binary"), "links")
+    return store(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(compare), "a binary, b binary"), "links"), full
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` has in common with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    col = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1]
+    lrow, rrow = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right))
+    lcol, rcol = col[: len(lrow)], col[len(lrow) :]
+    width = int(col.max()) + 1
+    many = np.bincount(lcol, minlength=width) * np.bincount(rcol, minlength=width)
+    dense = 100 * many > out.size  # so much in common that multiplying costs less than listing
+    place = np.cumsum(dense) - 1
+    sides = []
+    for row, c, n in ((lrow, lcol, len(left)), (rrow, rcol, len(right))):
+        at = np.flatnonzero(dense[c])
+        at = at[np.argsort(place[c[at]], kind="stable")]
+        sides.append((row[at], place[c[at]], n))
+    for k in range(0, int(dense.sum()), COLUMNS):
+        block = []
+        for row, c, n in sides:
+            own = slice(*np.searchsorted(c, [k, k + COLUMNS]))
+            x = np.zeros((n, COLUMNS), np.float32)
+            x[row[own], c[own] - k] = 1
+            block.append(x)
+        out += (block[0] @ block[1].T).astype(np.int32)
+    rare = ~dense & (many > 0)
+    at = np.flatnonzero(rare[rcol])
+    at = at[np.argsort(rcol[at], kind="stable")]
+    held = np.bincount(rcol[at], minlength=width)
+    start = np.cumsum(held) - held
+    own = np.flatnonzero(rare[lcol])
+    times = held[lcol[own]]
+    part = np.cumsum(times) // (1 << 21)
+    for k in np.unique(part).tolist():
+        i, t = own[slice(*np.searchsorted(part, [k, k + 1]))], times[slice(*np.searchsorted(part, [k, k + 1]))]
+        step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        j = rrow[at[np.repeat(start[lcol[i]], t) + step]]
+        np.add.at(out, (np.repeat(lrow[i], t), j), 1)
+    return out
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], weight: np.ndarray, back: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets of each side, the rows (``weight`` of the right, ``back`` of the left side) that they link to."""
+    common = _overlaps(left, right)
+    nl, nr = (np.array([len(s) for s in x], np.int64) for x in (left, right))
+    to, fro = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for a in range(0, len(left), 256):
+        c = common[a : a + 256].astype(np.int64)
+        near = 100 * c >= PERCENT * (nl[a : a + 256, None] + nr - c)
+        if same:
+            near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+        to[a : a + 256] = near @ weight
+        fro += back[a : a + 256] @ near
+    return to, fro
+
+
+def _count_links(roots: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cls``, ``links``: the rows of other classes that each class of a component links to.
+
+    Small components share a task by their hash (``part``), large ones are dealt out by pairs of tiles."""
+    found = roots.withColumnRenamed("v", "cls").join(sets, "cls").join(classes.select("cls", "m"), "cls")
+    sizes = roots.withColumnRenamed("v", "cls").join(classes.select("cls", "n"), "cls").groupBy("root").agg(F.count("*").alias("size"), (8 * F.sum("n")).alias("bytes"))
+    sizes = store(sizes.withColumn("tiles", F.ceil(F.greatest(F.col("size") / COUNT_TILE, F.col("bytes") / COUNT_BYTES)).cast("int")), "sizes")
+    parts = max(1, math.ceil((sizes.where("tiles = 1").agg(F.sum("bytes")).first()[0] or 0) / (COUNT_BYTES // 2)))
+    dealt = found.join(sizes.select("root", "tiles"), "root").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
+    part = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(parts)).cast("string")).otherwise(F.hex("root"))
+
+    def run(table: pa.Table) -> pa.Table:
+        root, cls, m, tile, x, y = (table.column(c).to_numpy() for c in ("root", "cls", "m", "tile", "x", "y"))
+        shingles = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")]
+        order = sorted(range(len(root)), key=lambda i: (root[i], tile[i]))
+        links = np.zeros(len(root), np.int64)
+        start = 0
+        for end in range(1, len(order) + 1):
+            if end < len(order) and root[order[end]] == root[order[start]]:
+                continue
+            own = np.array(order[start:end])
+            start = end
+            same = x[own[0]] == y[own[0]]
+            a, b = (own, own) if same else (own[tile[own] == x[own[0]]], own[tile[own] == y[own[0]]])
+            if not len(a) or not len(b):
+                continue
+            to, fro = _linked([shingles[i] for i in a], [shingles[i] for i in b], m[b], m[a], same)
+            links[a] += to
+            if not same:
+                links[b] += fro
+        out = pa.table({"cls": pa.array(cls.tolist(), pa.binary()), "links": pa.array(links)})
+        release()
+        return out
+
+    counted = dealt.select(part.alias("part"), "root", "cls", "m", "shingles", "tile", "x", "y").groupBy("part", "x", "y").applyInArrow(run, "cls binary, links long")
+    return counted.groupBy("cls").agg(F.sum("links").alias("links"))
 
 
 @dataclass
 class Joined:
     """``rows``: id, n_shingles, cls, root (the component's class); ``links``: verified pairs (a, b)
-    of classes; ``boundary``: the largest small set."""
+    of classes that connect the components, not all that link; ``boundary``: the largest small set;
+    ``classes``: cls, n, m (its rows); ``roots``: v, root of the classes with a link; ``sets``: their shingles."""
 
     rows: DataFrame
     links: DataFrame
     boundary: int
+    classes: DataFrame
+    roots: DataFrame
+    sets: DataFrame
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None) -> Joined:
@@ -432,7 +539,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
     spark = docs.sparkSession
     summary = store(_summaries(docs, id_col, text_col), "summary")
     rows = summary.where("kind = 0").select("id", "n", "cls", "sketch")
-    classes = store(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = store(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("m")), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(FREQUENT, 4 * math.ceil(total / (1 << COUNTER_BITS)))
     frequent = reached(summary.where("kind = 1").select("piece", "payload"), COUNTER_BITS, least)
@@ -445,35 +552,45 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small:
     entries = found.where("long").select("key", F.col("a").alias("cls"), "n")
     central = _scan_long(_members(entries, classes, None), True)
     pairs = store(found.where("not long").select("a", "b").union(central).distinct(), "pairs")
-    links = _verify(docs, text_col, classes, pairs)
+    links, sets = _verify(docs, text_col, classes, pairs)
     roots = components(links)
     more = store(_scan_long(_members(entries, classes, roots), False), "pairs")
     if not more.isEmpty():
-        links = store(links.union(_verify(docs, text_col, classes, more)), "links")
+        further, others = _verify(docs, text_col, classes, more)
+        links = store(links.union(further), "links")
+        sets = sets.union(others.join(sets.select("cls"), "cls", "left_anti"))
         roots = components(links)
     rows = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("id", F.col("n").alias("n_shingles"), "cls", F.coalesce("root", "cls").alias("root"))
-    return Joined(rows, links, small)
-
+    return Joined(rows, links, small, classes.select("cls", "n", "m"), roots, sets)
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``: the smallest id reachable by links, itself included.
 
-    Texts without words keep their own id.
-    """
-    rows = join(docs, id_col, text_col, small).rows
+def _grouped(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     return rows.join(least, "root", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id")
+        F.col("id").alias(id_col), "n_shingles", *more, F.when(F.col("n_shingles") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id")
     )
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``n_links``: the other rows that it links to, equal texts included,
+    ``component_id``: the smallest id reachable by links, itself included.
+
+    Texts without words keep their own id and have no links.
+    """
+    found = join(docs, id_col, text_col, small)
+    counts = found.classes.where("n > 0").join(_count_links(found.roots, found.sets, found.classes), "cls", "left")
+    counts = counts.select("cls", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = found.rows.join(counts, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return _grouped(rows, id_col, "n_links")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; texts without words stay.
 
     Equal rows of the id that stays are reduced to one. A null id is not told from another null id:
     rows without id stay.
     """
-    found = groups(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    found = _grouped(join(docs, id_col, text_col).rows, id_col).where(F.col(id_col).isNotNull())
     found = store(found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("times")), "groups")
     kept = docs.join(found.where(F.col("least") < F.col(id_col)).select(id_col), id_col, "left_anti")
     again = found.where((F.col("times") > 1) & (F.col("least") == F.col(id_col)) & (F.col("most") > 0)).select(id_col)

@@ -103,6 +103,30 @@ def test_ngram_join_finds_every_group(docs, empty, small, monkeypatch):
         assert sorted(named) == sorted({v for g, v in least.items() if v is not None and any(sets[i] and group[i] == g for i in sets)})
 
 
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_ngram_join_counts_every_link(docs, empty, spark, tile, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNT_TILE", tile)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    near = []
+    for i in range(60):  # different texts that meet in long lists, nearly all of them linked with each other
+        words = list(base)
+        for _ in range(i % 4):
+            words[rnd.randrange(200)] = f"x{i}"
+        near.append((5000 + i, " ".join(words) + f" y{i}"))
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    rows = table.collect()
+    sets = [shingles(r["text"]) for r in rows]
+    want = []
+    for i, s in enumerate(sets):
+        n = sum(1 for j, t in enumerate(sets) if i != j and s and t and 100 * len(s & t) >= 75 * len(s | t))
+        want.append((str(rows[i]["doc_id"]), len(s), n))
+    assert max(n for *_, n in want) > 50
+    got = [(str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in ngram_join.groups(table).collect()]
+    assert sorted(got) == sorted(want)
+    assert ngram_join.groups(empty).columns == ["doc_id", "n_shingles", "n_links", "component_id"]
+
+
 def test_components_with_and_without_rounds(spark, monkeypatch):
     from tessera.llm import components as module
 
