@@ -280,8 +280,8 @@ def ssim_scores(spark: SparkSession, sf: str) -> DataFrame:
 RULED = f"{SSIM}, u AS (SELECT patch, scene_id, score9 / (windows * 1e9::DOUBLE) AS ssim, scene_id % 11 = 0 AS excluded, scene_id % 13 = 0 AS empty, scene_id % 17 = 0 AS disjoint, patch % 3 = 0 AS at_origin FROM s), t AS (SELECT patch, scene_id, CASE WHEN excluded THEN 'excluded' WHEN empty THEN 'empty' WHEN disjoint THEN 'disjoint' ELSE 'scored' END AS reason, CASE WHEN excluded THEN -2.0::DOUBLE WHEN empty THEN -3.0::DOUBLE WHEN disjoint THEN -1.0::DOUBLE WHEN NOT at_origin THEN ssim - 0.05::DOUBLE ELSE ssim END AS score FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY patch ORDER BY score DESC, scene_id DESC) AS rank FROM t)"
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    s = scoring.ssim_scores(_patch_pairs(spark, sf), ["patch", "scene_id"], 8, 8)
+def _ranked(spark: SparkSession, sf: str, pool: bool = False) -> DataFrame:
+    s = _pool(spark, sf) if pool else scoring.ssim_scores(_patch_pairs(spark, sf), ["patch", "scene_id"], 8, 8)
     flag = lambda m: F.col("scene_id") % m == 0
     s = s.withColumns({"excluded": flag(11), "empty": flag(13), "disjoint": flag(17), "partial": F.lit(False), "at_origin": F.col("patch") % 3 == 0})
     return scoring.ranked(scoring.ruled(s), ["patch"]).withColumn("rank", F.col("rank").cast("long"))
@@ -294,7 +294,11 @@ def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RULED}, a AS (SELECT * FROM k WHERE score >= 0.1::DOUBLE AND patch % 7 <> 0 AND scene_id % 5 > 0 AND (scene_id + patch) % 49 > (1.0::DOUBLE - 0.25::DOUBLE) * 49) SELECT patch, min(rank) AS rank, arg_min(scene_id, rank) AS scene_id FROM a GROUP BY 1")
 def accept_candidate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _ranked(spark, sf).withColumns({"on_border": F.col("patch") % 7 == 0, "least": F.col("scene_id") % 5, "clear": (F.col("scene_id") + F.col("patch")) % 49, "cells": F.lit(49)})
+    return _accepted(_ranked(spark, sf))
+
+
+def _accepted(ranked: DataFrame) -> DataFrame:
+    rows = ranked.withColumns({"on_border": F.col("patch") % 7 == 0, "least": F.col("scene_id") % 5, "clear": (F.col("scene_id") + F.col("patch")) % 49, "cells": F.lit(49)})
     return scoring.first_accepted(scoring.acceptable(rows, threshold=0.1), ["patch"])
 
 
@@ -303,6 +307,35 @@ def run_counters(spark: SparkSession, sf: str) -> DataFrame:
     return clouds.counters(_ranked(spark, sf))
 
 
+# The same over the whole pool: every other vector of the patch's label is a candidate.
+def _whole(sql: str) -> str:
+    return sql.replace("q.n BETWEEN p.n + 1 AND p.n + 5", "q.vec_id <> p.vec_id")
+
+
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.pool_scores(src.patch_embedding(spark, sf), 8, 8)
+
+
+@query(_whole(SQL["ssim_scores"]))
+def ssim_scores_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return _pool(spark, sf).select("patch", "scene_id", "score9", "windows")
+
+
+@query(_whole(SQL["rank_candidates"]))
+def rank_candidates_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(spark, sf, True).select("patch", "scene_id", "reason", "score", "rank")
+
+
+@query(_whole(SQL["accept_candidate"]))
+def accept_candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return _accepted(_ranked(spark, sf, True))
+
+
+@query(_whole(SQL["run_counters"]))
+def run_counters_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return clouds.counters(_ranked(spark, sf, True))
+
+
 # --- blending ------------------------------------------------------------------------------------
 W_CELLS = f"w AS (SELECT r, c, {WEIGHT} AS k FROM cells)"
 COVER = "cov AS (SELECT scene_id, CASE k WHEN 0 THEN 0 ELSE 1 END AS region, count(p.dn) AS covered, count(*) AS cells FROM w CROSS JOIN (VALUES (1), (2)) s(scene_id) LEFT JOIN px p USING (scene_id, r, c) WHERE k IN (0, 58) GROUP BY 1, 2)"

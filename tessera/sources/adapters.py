@@ -56,6 +56,12 @@ def px_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "label", F.floor(F.col("pos") / 8).cast("int").alias("r"), (F.col("pos") % 8).alias("c"), value.alias("dn"))
 
 
+def patch_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id``, ``label``, ``cells``: the patches of :func:`px_embedding`, row by row, one array each."""
+    value = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 1) * 127.5))).cast("long")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", value).alias("cells"))
+
+
 def scene_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scene catalogue with footprint boxes: ``scene_id``, ``name``, ``x0``, ``y0``, ``x1``, ``y1``."""
     k = F.col("s_suppkey")

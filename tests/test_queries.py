@@ -34,6 +34,18 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
+def test_pool_scores_cover_the_whole_label(spark):
+    from tessera.operators import scoring
+    from tessera.sources import adapters
+
+    table = adapters.patch_embedding(spark, SF)
+    label = {r["vec_id"]: r["label"] for r in table.collect()}
+    want = {(a, b) for a in label for b in label if a != b and label[a] == label[b]}
+    whole = {(r["patch"], r["scene_id"]): r["score9"] for r in QUERIES["ssim_scores_pool"](spark, SF).collect()}
+    assert set(whole) == want
+    assert {(r["patch"], r["scene_id"]): r["score9"] for r in scoring.pool_scores(table, 8, 8, tile=20).collect()} == whole
+
+
 def test_blend_of_shifted_scenes(spark):
     """Two rows that overlap by half: 1000 | 1000, 3000 | 3000 with weights 0, 29, 58, 58 of 58."""
     a = spark.createDataFrame([(0, c, 1000) for c in range(4)], "r int, c int, dn long")
