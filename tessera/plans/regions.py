@@ -92,6 +92,16 @@ def spiral_search(spark: SparkSession, sf: str) -> DataFrame:
     return focal.nearest_valid(points, _pair(spark, sf).where("dn > 235 AND dn_b > 235"), 15, 15)
 
 
+# from every cell, as far as the search goes by default
+_WHOLE_SEARCH = SQL["spiral_search"].replace(f" WHERE (r * {N} + c) % 37 = 0", "").replace(_SPIRAL, ", ".join(map(str, grid.spiral(35, 35))))
+
+
+@query(_WHOLE_SEARCH)
+def spiral_search_all(spark: SparkSession, sf: str) -> DataFrame:
+    points = grid.dense(spark, None, N, N).select((F.col("r") * N + F.col("c")).alias("p"), "r", "c")
+    return focal.nearest_valid(points, _pair(spark, sf).where("dn > 235 AND dn_b > 235"))
+
+
 @query(f"WITH {SCENES}, p AS (SELECT scene_id, CASE WHEN scene_id % 5 <> 4 THEN x0::DOUBLE END AS x, CASE WHEN scene_id % 5 <> 4 THEN y0::DOUBLE END AS y FROM scenes) SELECT scene_id, x, y, CAST(floor(x / 6.0::DOUBLE) AS BIGINT) AS c, CAST(floor((2100.0::DOUBLE - y) / 6.0::DOUBLE) AS BIGINT) AS r, CAST(round_even(x / 6.0::DOUBLE, 0) AS BIGINT) AS c_even, CAST(round_even((2100.0::DOUBLE - y) / 6.0::DOUBLE, 0) AS BIGINT) AS r_even, CAST(floor((2100.0::DOUBLE - y) / 6.0::DOUBLE) AS BIGINT) * 200 + CAST(floor(x / 6.0::DOUBLE) AS BIGINT) + 1 AS id FROM p")
 def endpoint_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """Scene corners as text of points, of lines or of nothing, to cells and cell numbers."""

@@ -46,6 +46,18 @@ def test_pool_scores_cover_the_whole_label(spark):
     assert {(r["patch"], r["scene_id"]): r["score9"] for r in scoring.pool_scores(table, 8, 8, tile=20).collect()} == whole
 
 
+def test_spiral_search_starts_from_every_cell(spark, con):
+    best = {}
+    for s, r, c, q in con.sql("select l_linenumber, l_orderkey % 32, l_partkey % 32, l_quantity from lineitem").fetchall():
+        best[s, int(r), int(c)] = max(best.get((s, int(r), int(c)), 0), int(q) * 5)
+    valid = [(r, c) for s, r, c in best if s == 1 and best[s, r, c] > 235 and best.get((2, r, c), 0) > 235]
+    got = {r["p"]: (r["r"], r["c"]) for r in QUERIES["spiral_search_all"](spark, SF).collect()}
+    assert set(got) == set(range(1024))
+    for p, (r, c) in got.items():
+        ring = lambda y, x, p=p: max(abs(y - p // 32), abs(x - p % 32))
+        assert (r, c) in valid and ring(r, c) == min(ring(*v) for v in valid)
+
+
 def test_blend_of_shifted_scenes(spark):
     """Two rows that overlap by half: 1000 | 1000, 3000 | 3000 with weights 0, 29, 58, 58 of 58."""
     a = spark.createDataFrame([(0, c, 1000) for c in range(4)], "r int, c int, dn long")
