@@ -44,12 +44,12 @@ def mask_blend(a: DataFrame, b: DataFrame, weight: DataFrame) -> DataFrame:
     return both.select("r", "c", F.when(total > 0, 1).otherwise(0).alias("v"))
 
 
-def pan_blend(a: DataFrame, b: DataFrame, weight: DataFrame, factor: int) -> DataFrame:
+def pan_blend(a: DataFrame, b: DataFrame, weight: DataFrame, factor: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """The blend at ``factor`` times the weights' resolution; each pan cell takes its cell's weight."""
-    both = a.select("r", "c", F.col("dn").alias("a")).join(b.select("r", "c", F.col("dn").alias("b")), ["r", "c"], "full")
+    both = a.select(*keys, "r", "c", F.col("dn").alias("a")).join(b.select(*keys, "r", "c", F.col("dn").alias("b")), [*keys, "r", "c"], "full")
     coarse = weight.select(F.col("r").alias("wr"), F.col("c").alias("wc"), "k")
     at = both.withColumn("wr", F.floor(F.col("r") / F.lit(float(factor))).cast("int")).withColumn("wc", F.floor(F.col("c") / F.lit(float(factor))).cast("int")).join(coarse, ["wr", "wc"], "left")
-    return at.select("r", "c", blend(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)), F.coalesce("k", F.lit(0)), FULL).alias("dn"))
+    return at.select(*keys, "r", "c", blend(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)), F.coalesce("k", F.lit(0)), FULL).alias("dn"))
 
 
 def rewritten(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

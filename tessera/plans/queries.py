@@ -47,6 +47,25 @@ def _pair(spark: SparkSession, sf: str) -> DataFrame:
     return grid.dense(spark, None, N, N).join(two, ["r", "c"], "left").fillna(0)
 
 
+def _pair_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scene with the next one; ``pair_id`` is the first one's number."""
+    ids = src.scene_ids(spark, sf)
+    return spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "pair_id int, next_id int")
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """``pair_id``, ``r``, ``c``, ``dn`` of the first and of the next scene of every pair."""
+    keys, px = F.broadcast(_pair_ids(spark, sf)), src.px_lineitem(spark, sf)
+    return tuple(px.join(keys, px["scene_id"] == keys[side]).select("pair_id", "r", "c", "dn") for side in ("pair_id", "next_id"))
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`_pair`, of every pair of neighbouring scenes."""
+    a, b = _sides(spark, sf)
+    cells = grid.dense(spark, _pair_ids(spark, sf).select("pair_id"), N, N)
+    return cells.join(a, ["pair_id", "r", "c"], "left").join(b.withColumnRenamed("dn", "dn_b"), ["pair_id", "r", "c"], "left").fillna(0, ["dn", "dn_b"])
+
+
 def _scene(spark: SparkSession, sf: str, n: int) -> DataFrame:
     return src.px_lineitem(spark, sf, n).select("r", "c", "dn")
 
@@ -445,17 +464,53 @@ def seam_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def seam_path(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.seam_edges(_pair(spark, sf).withColumn("pair_id", F.lit(1)), "a6c_int", ["pair_id"])
+    edges = graph.seam_edges(_pairs(spark, sf), "a6c_int", ["pair_id"])
     return graph.seam_paths(edges, "pair_id", (0, 0), (N - 1, N - 1), N, N)
 
 
+# The same over every pair of neighbouring scenes.
+for _name in cost.COSTS:
+
+    def _edges(spark: SparkSession, sf: str, method: str = _name) -> DataFrame:
+        return graph.seam_edges(_pairs(spark, sf), method, ["pair_id"])
+
+    _edges.__name__ = f"edge_cost_{_name}_pairs"
+    query()(_edges)
+
+
+@query()
+def cheapest_edges_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = graph.seam_edges(_pairs(spark, sf), "a6c_int", ["pair_id"])
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id", "r").orderBy("w", "c", "dir")).cast("long")).where("rank <= 3").select("pair_id", "r", "rank", "c", "dir", "w")
+
+
+@query()
+def seam_distance_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.seam_distances(graph.seam_edges(_pairs(spark, sf), "a6c_int", ["pair_id"]), "pair_id", (0, 0), N, N)
+
+
+@query()
+def feather_blend_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return blending.feather_blend(*_sides(spark, sf), _weight(spark), ("pair_id",))
+
+
+@query()
+def pan_blend_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return blending.pan_blend(*_sides(spark, sf), _weight(spark), 4, ("pair_id",))
+
+
 @query()
 def patch_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Every block of the mask filled from scene 2, in boxes widened by up to ten cells."""
-    boxes = graph.component_sizes(graph.components(_blocks(spark), ["scene"]), ["scene"])
-    near = grid.dense(spark, None, N, N).join(boxes, F.col("r").between(F.col("r0") - 10, F.col("r1") + 10) & F.col("c").between(F.col("c0") - 10, F.col("c1") + 10))
-    member = graph.components(_blocks(spark), ["scene"]).select("r", "c", F.col("label").alias("own"))
-    flags = src.mask_cell(grid.dense(spark, None, N, N).withColumn("scene_id", F.lit(2))).select("r", "c", F.when(F.col("code") > 2, 1).otherwise(0).alias("flag"))
-    rows = near.select(F.col("label").alias("patch_id"), "r", "c").join(_pair(spark, sf), ["r", "c"]).join(member, ["r", "c"], "left").join(flags, ["r", "c"])
-    dense = rows.select("patch_id", F.lit(1).alias("band"), "r", "c", F.col("dn").alias("mosaic"), F.col("dn_b").alias("candidate"), F.when(F.col("own") == F.col("patch_id"), 1).otherwise(0).alias("member"), "flag")
-    return blending.poisson_fill(dense, ["patch_id"], 255)
+    """Every block of each scene's mask filled from the next scene, in boxes widened by up to ten cells."""
+    pairs = _pairs(spark, sf)
+    cells = grid.dense(spark, _pair_ids(spark, sf), N, N)
+    blocks = src.mask_block(cells.withColumn("scene_id", F.col("pair_id"))).where("code = 10")
+    member = graph.components(blocks, ["pair_id"]).select("pair_id", "r", "c", F.col("label").alias("own"))
+    boxes = graph.component_sizes(member.withColumnRenamed("own", "label"), ["pair_id"])
+    near = cells.drop("next_id").join(boxes, "pair_id").where(F.col("r").between(F.col("r0") - 10, F.col("r1") + 10) & F.col("c").between(F.col("c0") - 10, F.col("c1") + 10))
+    flags = src.mask_cell(cells.withColumn("scene_id", F.col("next_id"))).select("pair_id", "r", "c", F.when(F.col("code") > 2, 1).otherwise(0).alias("flag"))
+    rows = near.select("pair_id", F.col("label").alias("patch_id"), "r", "c").join(pairs, ["pair_id", "r", "c"]).join(member, ["pair_id", "r", "c"], "left").join(flags, ["pair_id", "r", "c"])
+    dense = rows.select("pair_id", "patch_id", F.lit(1).alias("band"), "r", "c", F.col("dn").alias("mosaic"), F.col("dn_b").alias("candidate"), F.when(F.col("own") == F.col("patch_id"), 1).otherwise(0).alias("member"), "flag")
+    return blending.poisson_fill(dense, ["pair_id", "patch_id"], 255)

@@ -9,7 +9,7 @@ from tessera.functions import grid, names
 from tessera.operators import align, blending, clouds, focal, graph, radiometry
 from tessera.plans import mosaic
 from tessera.plans.queries import (
-    BANDS, BLOCKS, CELL_MASK, CELLS, EDGES, COST_SQL, DENSE2, HIST, LABELS, N, PX, QUERIES, SCENES, SQL, VALID, _blocks, _lut, _mask, _pair, _scene, _valid, query,
+    BANDS, BLOCKS, CELL_MASK, CELLS, EDGES, COST_SQL, DENSE2, HIST, LABELS, N, PX, QUERIES, SCENES, SQL, VALID, _blocks, _lut, _mask, _pair, _pairs, _scene, _valid, query,
 )
 from tessera.sources import adapters as src
 
@@ -123,8 +123,8 @@ def connecting_kernel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def seam_to_border(spark: SparkSession, sf: str) -> DataFrame:
-    """The seam between two inner cells, drawn on to the border."""
-    edges = graph.seam_edges(_pair(spark, sf).withColumn("pair_id", F.lit(1)), "a6c_int", ["pair_id"])
+    """The seam of each pair between two inner cells, drawn on to the border."""
+    edges = graph.seam_edges(_pairs(spark, sf), "a6c_int", ["pair_id"])
     seam = graph.seam_paths(edges, "pair_id", (3, 3), (N - 4, N - 4), N, N).select("pair_id", "r", "c", F.lit(1).alias("v"))
     return graph.seams_to_border(seam, "pair_id", ((3, 3), (N - 4, N - 4)), N, N)
 
@@ -218,5 +218,5 @@ def scene_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def running_mosaic(spark: SparkSession, sf: str) -> DataFrame:
-    """Three scenes one after the other, each against the mosaic so far."""
-    return mosaic.mosaic([(n, src.px_bands(spark, sf, n).drop("scene_id")) for n in (1, 2, 3)], N, N, "a6c_int", 9)
+    """All scenes one after the other, each against the mosaic so far."""
+    return mosaic.mosaic([(n, src.px_bands(spark, sf, n).drop("scene_id")) for n in src.scene_ids(spark, sf)], N, N, "a6c_int", 9)

@@ -22,6 +22,11 @@ def px_lineitem(spark: SparkSession, sf_dir: str, *scenes: int) -> DataFrame:
     ).agg(F.max(F.floor("l_quantity") * 5).cast("long").alias("dn"))
 
 
+def scene_ids(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The scenes of ``lineitem``, in ascending order; a mosaic takes them one after the other."""
+    return sorted(r[0] for r in table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL").select("l_linenumber").distinct().collect())
+
+
 def px_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scene of 64 by 64 cells."""
     return table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_partkey", F.lit(64)).cast("int").alias("r"), F.pmod("l_suppkey", F.lit(64)).cast("int").alias("c")).agg(F.max(F.floor("l_quantity") * 5).cast("long").alias("dn"))

@@ -58,6 +58,30 @@ def test_spiral_search_starts_from_every_cell(spark, con):
         assert (r, c) in valid and ring(r, c) == min(ring(*v) for v in valid)
 
 
+def test_mosaic_and_pairs_take_every_scene(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    small = "/root/testdata/sf0.01"
+    ids = [r[0] for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+    assert len(ids) > 3
+    for name in ("seam_path", "seam_to_border", "patch_fill"):
+        assert sorted(r[0] for r in QUERIES[name](spark, small).select("pair_id").distinct().collect()) == ids[:-1]
+    # only the last scene has data in the lower rows, so nothing else can fill them
+    rows = spark.read.parquet(f"{small}/lineitem.parquet")
+    rows.where((F.col("l_linenumber") == ids[-1]) | (F.col("l_orderkey") % 32 < 12)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["running_mosaic"](spark, str(tmp_path))
+    assert got.where("r >= 12 AND dn > 0").count() > 0
+
+
+@pytest.mark.parametrize(("name", "pair"), [*((n, 1) for n in QUERIES if n.startswith("edge_cost_") and n in SQL), ("cheapest_edges", 1), ("seam_distance", 1), ("feather_blend", 1), ("pan_blend", 3)])
+def test_pairs_hold_the_single_pair(spark, name, pair):
+    rows = QUERIES[f"{name}_pairs"](spark, SF)
+    assert {r[0] for r in rows.select("pair_id").distinct().collect()} >= {1, 3, 5}
+    one, old = rows.where(f"pair_id = {pair}"), QUERIES[name](spark, SF)
+    columns = [c for c in old.columns if c != "pair_id"]
+    assert sorted(map(repr, one.select(*columns).collect())) == sorted(map(repr, old.select(*columns).collect()))
+
+
 def test_blend_of_shifted_scenes(spark):
     """Two rows that overlap by half: 1000 | 1000, 3000 | 3000 with weights 0, 29, 58, 58 of 58."""
     a = spark.createDataFrame([(0, c, 1000) for c in range(4)], "r int, c int, dn long")
