@@ -584,16 +584,34 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smal
     return _grouped(rows, id_col, "n_links")
 
 
+def _classed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the class of each row's text as ``__cls``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_digest(s) for scan in scans(batch.column(place), lower=True) for _, s in shingle_sets(scan, SIZE)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*batch.schema.names, "__cls"])
+
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("__cls", T.BinaryType())]))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; texts without words stay.
 
     Equal rows of the id that stays are reduced to one. A null id is not told from another null id:
-    rows without id stay.
+    rows without id stay. Where an id repeats with different texts, each text is judged by itself.
     """
-    found = _grouped(join(docs, id_col, text_col).rows, id_col).where(F.col(id_col).isNotNull())
-    found = store(found.groupBy(id_col).agg(F.min("component_id").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("times")), "groups")
-    kept = docs.join(found.where(F.col("least") < F.col(id_col)).select(id_col), id_col, "left_anti")
-    again = found.where((F.col("times") > 1) & (F.col("least") == F.col(id_col)) & (F.col("most") > 0)).select(id_col)
+    every = _grouped(join(docs, id_col, text_col).rows, id_col, "cls").where(F.col(id_col).isNotNull())
+    found = store(every.groupBy(id_col).agg(F.min("component_id").alias("least"), F.max("component_id").alias("most_component"), F.max("n_shingles").alias("most"), F.count("*").alias("times")), "groups")
+    stays = F.col("most_component") == F.col(id_col)
+    kept = docs.join(found.where(~stays).select(id_col), id_col, "left_anti")
+    mixed = found.where(stays & (F.col("least") < F.col(id_col))).select(id_col)
+    if not mixed.isEmpty():
+        gone = every.where(F.col("component_id") < F.col(id_col)).select(id_col, F.col("cls").alias("__cls")).distinct()
+        judged = _classed(kept.join(mixed, id_col, "left_semi").select(*docs.columns), text_col).join(gone, [id_col, "__cls"], "left_anti")
+        kept = kept.join(mixed, id_col, "left_anti").select(*docs.columns).union(judged.select(*docs.columns))
+    again = found.where((F.col("times") > 1) & stays & (F.col("most") > 0)).select(id_col)
     if not again.isEmpty():
         kept = kept.join(again, id_col, "left_anti").union(kept.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col]))
     return kept.select(*docs.columns)

@@ -127,6 +127,15 @@ def test_ngram_join_counts_every_link(docs, empty, spark, tile, monkeypatch):
     assert ngram_join.groups(empty).columns == ["doc_id", "n_shingles", "n_links", "component_id"]
 
 
+def test_one_of_each_judges_each_text_of_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base, "a"), (5, base + " more", "b"), (5, "quite another text that belongs to no group at all", "c"), (5, "", "d"), (6, base + " less", "e"), (7, "alone but for the id and so it stays", "f"), (7, "alone but for the id and so it stays", "f"), (None, base, "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = ngram_join.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted(r["source"] for r in kept.collect()) == ["a", "c", "d", "f", "g"]
+
+
 def test_components_with_and_without_rounds(spark, monkeypatch):
     from tessera.llm import components as module
 
