@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.storage import store
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with underscores before it where ``columns`` have one of that name already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _SHIFT = 33  # monotonically_increasing_id: partition number above, row number below
 
 

@@ -1,10 +1,14 @@
 """Best-fit packing of token pieces into sequences of one capacity, by exact-complement hashing.
 
-Only the counts per length (at most ``capacity`` numbers, whatever the input) reach the driver. It
-plans whole classes of sequences at once: for each length from the longest, the gap it leaves is
-looked up among the single lengths, the pair sums and the triple sums that are still available, and
-the combination is consumed as often as its counts allow, so those sequences are exactly full. What
-no combination fills is packed best-fit, longest first. The plan is a list of patterns with
+Only the counts per length (at most ``capacity`` numbers, whatever the input) reach the driver, which
+plans whole classes of sequences at once. An index, addressed by sum, holds how many single lengths,
+pairs and triples of lengths still available add up to each number; it is kept up to date as lengths
+run out. For each length from the longest, the gap that it leaves is looked up there, and a
+combination that fills it exactly is consumed as often as its counts allow: singles first, then
+pairs, then triples, the most even ones first, since small pieces fill more gaps. What remains is
+packed best-fit, longest first. Lengths are taken up in ``BLOCKS`` blocks, and a block's combinations
+are kept only if the whole plan, best-fit for the rest included, has no more sequences than before; so
+the result is never worse than best-fit decreasing alone. The plan is a list of patterns with
 multiplicities; its size depends on the capacity, not on the number of pieces. Pieces are ranked
 within their length in hash buckets and take the places the plan gives to that rank, so no length,
 however frequent, meets in one task.
@@ -28,15 +32,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.memory import released
+from tessera.llm.ordering import unused
 from tessera.llm.storage import store
 from tessera.llm.tokens import BYTE_BPE, encode
 
 CAPACITY = 1024
 END_ID = 2
+#: Blocks of lengths whose combinations are kept or dropped together.
+BLOCKS = 32
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+class Complements:
+    """How many single lengths, ordered pairs and ordered triples of available lengths have each sum."""
+
+    def __init__(self, have: np.ndarray):
+        self.have, self.patterns = have.copy(), []
+        self.one = (have > 0).astype(np.int64)
+        self.pairs = np.convolve(self.one, self.one)[: len(have)]
+        self.triples = np.convolve(self.pairs, self.one)[: len(have)]
+
+    def copy(self) -> Complements:
+        out = Complements.__new__(Complements)
+        out.have, out.one, out.pairs, out.triples = (x.copy() for x in (self.have, self.one, self.pairs, self.triples))
+        out.patterns = list(self.patterns)
+        return out
+
+    def _gone(self, x: int) -> None:
+        """Takes length x out of all sums (by inclusion and exclusion)."""
+        n = len(self.have)
+        self.triples[x:] -= 3 * self.pairs[: n - x]
+        self.triples[2 * x :] += 3 * self.one[: max(0, n - 2 * x)]
+        self.triples[3 * x : 3 * x + 1] -= 1
+        self.pairs[x:] -= 2 * self.one[: n - x]
+        self.pairs[2 * x : 2 * x + 1] += 1
+        self.one[x] = 0
+
+    def consume(self, pattern: tuple[int, ...]) -> None:
+        """As many sequences of this pattern as the counts allow."""
+        lengths, times = np.unique(pattern, return_counts=True)
+        k = int((self.have[lengths] // times).min())
+        if k:
+            self.have[lengths] -= k * times
+            self.patterns.append((pattern, k))
+            for x in lengths[self.have[lengths] == 0].tolist():
+                self._gone(x)
+
+    def two(self, total: int, most: int) -> Iterator[tuple[int, int]]:
+        """Available lengths b >= c with b + c = total and b <= most, the most even first."""
+        b = np.arange((total + 1) // 2, min(total - 1, most) + 1) if total > 1 and self.pairs[total] else np.zeros(0, np.int64)
+        for x in b[(self.have[b] > 0) & (self.have[total - b] > 0)].tolist():
+            if self.have[x] and self.have[total - x]:
+                yield x, total - x
+
+    def fill(self, a: int, parts: int) -> None:
+        """Consumes sequences of length a with ``parts`` others that are not longer and fill its gap."""
+        gap = len(self.have) - 1 - a
+        if parts == 1:
+            if not gap:
+                self.consume((a,))
+            elif gap <= a and self.one[gap]:
+                self.consume((a, gap))
+        elif parts == 2:
+            for pair in self.two(gap, a):
+                self.consume((a, *pair))
+                if not self.have[a]:
+                    break
+        elif self.triples[gap]:
+            b = np.arange((gap + 2) // 3, min(a, gap - 2) + 1)
+            for x in b[(self.have[b] > 0) & (self.pairs[gap - b] > 0)].tolist():
+                for pair in self.two(gap - x, x):
+                    if self.have[x]:
+                        self.consume((a, x, *pair))
+                    if not (self.have[a] and self.have[x]):
+                        break
+                if not self.have[a]:
+                    break
+
+
+def _sequences(patterns: Plan) -> int:
+    return sum(k for _, k in patterns)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Patterns (lengths of one sequence) and how many sequences follow each; uses every piece once."""
     have = np.zeros(capacity + 1, np.int64)
@@ -44,45 +122,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         if not 0 < length <= capacity:
             raise ValueError(f"a piece of length {length} does not fit into {capacity}")
         have[length] = n
-    out: Plan = []
-
-    def consume(pattern: tuple[int, ...]) -> None:
-        lengths, times = np.unique(pattern, return_counts=True)
-        k = int((have[lengths] // times).min())
-        if k > 0:
-            have[lengths] -= k * times
-            out.append((pattern, k))
-
-    def pair_sums(total: int, most: int) -> Iterator[tuple[int, int]]:
-        """Available lengths b >= c with b + c = total, b <= most, longest b first."""
-        lo, hi = (total + 1) // 2, min(total - 1, most)
-        if hi >= lo:
-            b = np.arange(hi, lo - 1, -1)
-            for x in b[(have[b] > 0) & (have[total - b] > 0)].tolist():
-                yield x, total - x
-
-    for a in range(capacity, 0, -1):
-        gap = capacity - a
-        if not have[a]:
-            continue
-        if gap == 0:
-            consume((a,))
-            continue
-        if gap <= a:
-            consume((a, gap))
-        for b, c in pair_sums(gap, a):
-            if not have[a]:
-                break
-            consume((a, b, c))
-        for b in range(min(a, gap - 2), (gap + 2) // 3 - 1, -1):
-            if not have[a]:
-                break
-            if have[b]:
-                for c, d in pair_sums(gap - b, b):
-                    consume((a, b, c, d))
-                    if not (have[a] and have[b]):
-                        break
-    return out + _best_fit(have, capacity)
+    index, rest = Complements(have), _best_fit(have, capacity)
+    for parts in (1, 2, 3):
+        for block in np.array_split(np.arange(capacity, 0, -1), BLOCKS):
+            tried = index.copy()
+            for a in block.tolist():
+                if tried.have[a]:
+                    tried.fill(a, parts)
+            if len(tried.patterns) > len(index.patterns):
+                left = _best_fit(tried.have, capacity)
+                if _sequences(tried.patterns) + _sequences(left) <= _sequences(index.patterns) + _sequences(rest):
+                    index, rest = tried, left
+    return index.patterns + rest
 
 
 def _best_fit(have: np.ndarray, capacity: int) -> Plan:
@@ -169,14 +220,15 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, length_co
     """``items`` with ``sequence_id`` and ``offset``. ``order``: columns that tell items of one length
     apart (rows equal in all of them may swap places). ``items`` must be a stored table."""
     spark = items.sparkSession
-    sizes = {r[0]: r[1] for r in items.groupBy(length_col).count().toLocalIterator()}
+    sizes = {r[0]: r[1] for r in items.groupBy(length_col).agg(F.count("*")).toLocalIterator()}
     spots = spark.sparkContext.broadcast(places(plan(sizes, capacity)))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = Window.partitionBy("__bucket", length_col).orderBy(*order)
-    before = Window.partitionBy(length_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = items.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    offsets = dealt.groupBy("__bucket", length_col).count().select("__bucket", length_col, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(own).cast("long")).join(offsets, ["__bucket", length_col]).select(*items.columns, (F.col("__rank") - 1 + F.col("__before")).alias("__rank"))
+    bucket, before_, rank = (unused(items.columns, x) for x in ("__bucket", "__before", "__rank"))
+    own = Window.partitionBy(bucket, length_col).orderBy(*order)
+    earlier = Window.partitionBy(length_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = items.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    offsets = dealt.groupBy(bucket, length_col).agg(F.count("*").alias(rank)).select(bucket, length_col, F.coalesce(F.sum(rank).over(earlier), F.lit(0)).alias(before_))
+    ranked = dealt.withColumn(rank, F.row_number().over(own).cast("long")).join(offsets, [bucket, length_col]).select(*items.columns, (F.col(rank) - 1 + F.col(before_)).alias(rank))
     at = items.columns.index(length_col)
     schema = T.StructType([*items.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

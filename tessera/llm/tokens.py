@@ -1,11 +1,14 @@
 """Token ids and token counts of whole texts with public tokenizer files, in Arrow batches.
 
-Both supported vocabularies split at a single space or newline between two other characters whatever
-stands around it, and before a comma or full stop between a letter or digit and white space. So a text
-is cut there into chunks and each distinct chunk is encoded once per
-batch (and remembered across batches, up to ``MEMORY_CHUNKS``). Texts with other white space,
-special strings or combining marks at a cut are encoded whole, by the library, in batches balanced by
-bytes. Both ways give the ids that the library gives for the whole text; tests compare them.
+Texts are cut into chunks on their bytes, and each distinct chunk of a batch is encoded once (and
+remembered across batches, up to ``MEMORY_CHUNKS``). A cut stands before each run of white space, and
+before a comma or full stop between a letter or digit and white space. Both supported vocabularies
+split there whatever stands around: none of their patterns goes on from other characters into white
+space, and white space before a word stays in the word's chunk, so a run is never divided. The only
+runs that get no cut of their own are those that begin with white space outside ASCII. Texts longer
+than a group are encoded part by part, cut at the same places, so memory follows the group and the
+longest stretch without white space. All ways give the ids that the library gives for the whole text;
+tests compare them.
 
 Null is an empty text and has no ids. Only lengths leave :func:`counts`.
 """
@@ -13,7 +16,6 @@ Null is an empty text and has no ids. Only lengths leave :func:`counts`.
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.memory import released
+from tessera.llm.words import text_buffers
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Texts are encoded in groups of about so many bytes; a longer text makes a group of its own, and
@@ -32,15 +35,24 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 GROUP_BYTES = 4 << 20
 #: Chunks whose ids a worker remembers; beyond it starts anew.
 MEMORY_CHUNKS = 500_000
-#: Letters and digits that stay one letter under composition and lower-casing.
-_STABLE = r"a-zA-Z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}\x{400}-\x{481}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
-#: A text that matches is encoded whole.
-UNSAFE = r'[ \n][ \n]|^[ \n]|[ \n]$|[^' + _STABLE + r'][,.][ \n]|^[,.][ \n]|[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]|<\||[ \n][\pM]'
-
-#: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+#: Chunks that are joined for one call.
+JOINED = 20_000
+#: Chunks with more characters are not remembered.
+LONGEST_KEPT = 64
+
+#: Code points of letters that stay one letter under composition and lower-casing, as ranges.
+_STABLE = np.array([
+    (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x17F), (0x400, 0x481), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+])
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: No cut after these: white space, and separators that some patterns take for it.
+_BLANK = _SPACE.copy()
+_BLANK[0x1C:0x20] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[0x2C, 0x2E]] = True
 
 _workers: dict[str, "Encoder"] = {}
 
@@ -55,9 +67,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keeps_space = "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and "Split" not in str(self.tokenizer.pre_tokenizer)
+        keeps_space = "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and "Split" not in str(self.tokenizer.pre_tokenizer)
         tab = self.whole(["\t"])[0]
-        self.tab = int(tab[0]) if self.keeps_space and len(tab) == 1 else -1
+        self.tab = int(tab[0]) if keeps_space and len(tab) == 1 else -1
         self.known: dict[str, bytes] = {}
         self.memory = MEMORY_CHUNKS
         self.popular: pa.Array | None = None
@@ -73,38 +85,30 @@ class Encoder:
         """The library's ids of each text."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that are new. With the byte vocabulary all are joined by tabs: a tab beside
-        a chunk is a token of its own, and no chunk holds one."""
-        if len(self.known) + len(chunks) > self.memory:
-            self.known.clear()
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, as bytes. With the byte vocabulary chunks of one word are joined by tabs:
+        a tab beside a chunk is a token of its own, and none of them holds one."""
+        out: list[bytes] = [b""] * len(chunks)
+        rest = list(range(len(chunks)))
         if self.tab >= 0:
-            chunks = self._learn_letters(chunks)
-            for i in range(0, len(chunks), 20_000):
-                part = chunks[i : i + 20_000]
-                ids = np.array(self.tokenizer.encode_batch_fast(["\t".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            bare = [c[1:] if c[:1] == " " else c for c in chunks]
+            one = [c.split() == [c] and "<|" not in c for c in bare]
+            joined = [k for k, x in enumerate(one) if x]
+            rest = [k for k, x in enumerate(one) if not x]
+            for i in range(0, len(joined), JOINED):
+                part = joined[i : i + JOINED]
+                ids = np.array(self.tokenizer.encode_batch_fast(["\t".join([chunks[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
                 cut = np.flatnonzero(ids == self.tab)
                 if len(cut) != len(part) - 1:
                     raise RuntimeError("chunks are not apart")
                 raw, at = ids.tobytes(), (4 * cut).tolist()
-                for chunk, a, b in zip(part, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True):
-                    self.known[chunk] = raw[a:b]
-        else:
-            for i in range(0, len(chunks), 20_000):
-                part = chunks[i : i + 20_000]
-                for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(e.ids, np.uint32).tobytes()
-
-    def _learn_letters(self, chunks: list[str]) -> list[str]:
-        """Gives chunks of letters, which are one word to the pre-tokenizer, to the model at once;
-        returns the others."""
-        rest, known, model = [], self.known, self.tokenizer.model.tokenize
-        for c in chunks:
-            if (c[1:] if c[:1] == " " else c).isalpha():
-                known[c] = _PACK[len(ids)](*ids) if len(ids := [t.id for t in model(c.encode().decode("latin-1").translate(_ALPHABET))]) < len(_PACK) else np.array(ids, np.uint32).tobytes()
-            else:
-                rest.append(c)
-        return rest
+                for k, a, b in zip(part, [0, *(x + 4 for x in at)], [*at, len(raw)], strict=True):
+                    out[k] = raw[a:b]
+        for i in range(0, len(rest), JOINED):
+            part = rest[i : i + JOINED]
+            for k, ids in zip(part, self.whole([chunks[k] for k in part]), strict=True):
+                out[k] = ids.tobytes()
+        return out
 
     def _known(self, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of many chunks in one array; where those of each chunk begin, and how many they are.
@@ -119,12 +123,14 @@ class Encoder:
         found = list(map(self.known.get, names))
         again = at >= 0
         again[rest] = np.fromiter((k is not None for k in found), bool, len(found))
-        if None in found:
-            self._learn([c for c, k in zip(names, found, strict=True) if k is None])
-            found = list(map(self.known.get, names))
-            if None in found:  # the memory was cleared in between
-                self._learn([c for c, k in zip(names, found, strict=True) if k is None])
-                found = list(map(self.known.__getitem__, names))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            if len(self.known) + len(new) > self.memory:
+                self.known.clear()
+            for k, ids in zip(new, self._encode([names[k] for k in new]), strict=True):
+                found[k] = ids
+                if len(names[k]) <= LONGEST_KEPT:
+                    self.known[names[k]] = ids
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
         size, start = self.size[at], self.start[at]
         size[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -139,34 +145,77 @@ class Encoder:
         self.size = np.append(size, 0)
         self.start = np.cumsum(self.size) - self.size
 
-    def _chunks(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """Dictionary of the chunks of texts and where each text's chunks begin and end. A chunk keeps
-        the white space before it; without it (first of its text) the chunk differs."""
-        kept = self.keeps_space
-        for mark in (",", "."):
-            for space in " \n":
-                texts = pc.replace_substring(texts, mark + space, f"\x01{mark}\x01{space if kept else ''}")
-        for space in " \n":  # those after a mark have their cut
-            texts = pc.replace_substring(texts, space, f"\x01{space}" if kept else "\x01")
-        marked = pc.replace_substring(texts, "\x01\x01", "\x01") if kept else texts
-        parts = pc.split_pattern(marked, "\x01")
-        return parts.values.dictionary_encode(), parts.offsets.to_numpy()
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts in one array, and where each text's ids begin (one entry more)."""
-        encoded, offsets = self._chunks(texts)
+    def _sizes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All chunks between ``bounds``: ids of the distinct ones, where each distinct one's begin and
+        how many they are, the number of every chunk, and the first chunk of every text."""
+        cut, first = cuts(data, bounds)
+        lo = int(bounds[0])
+        texts = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data[lo : int(bounds[-1])]))
+        encoded = texts.dictionary_encode()
         flat, start, size = self._known(encoded.dictionary)
-        code = encoded.indices.to_numpy()
-        n = size[code]
-        bounds = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
-        return flat[_spread(start[code], n)], bounds
+        return flat, start, size, encoded.indices.to_numpy(), first
 
-    def lengths(self, texts: pa.Array) -> np.ndarray:
-        encoded, offsets = self._chunks(texts)
-        size = self._known(encoded.dictionary)[2]
-        total = np.concatenate([[0], np.cumsum(size[encoded.indices.to_numpy()])])
-        bounds = total[offsets - offsets[0]]
-        return bounds[1:] - bounds[:-1]
+    def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts that lie in ``data`` from bound to bound, and where each text's begin
+        (one entry more)."""
+        flat, start, size, code, first = self._sizes(data, bounds)
+        n = size[code]
+        return flat[_spread(start[code], n)], np.concatenate([[0], np.cumsum(n)])[first]
+
+    def lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        _, _, size, code, first = self._sizes(data, bounds)
+        return np.diff(np.concatenate([[0], np.cumsum(size[code])])[first])
+
+
+def _inner_cuts(d: np.ndarray) -> np.ndarray:
+    """Flags of the places in bytes where a text may be cut."""
+    flags = np.zeros(len(d) + 1, bool)
+    if len(d) < 2:
+        return flags
+    space = _SPACE[d]
+    at = np.flatnonzero(space[1:] & ~_BLANK[d[:-1]]) + 1
+    last = d[at - 1]
+    wide = np.flatnonzero(last >= 0x80)
+    if len(wide):  # white space outside ASCII begins a run, too
+        a, b, c = (d[np.maximum(at[wide] - k, 0)] for k in (3, 2, 1))
+        run = (b == 0xC2) & ((c == 0x85) | (c == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & ((c <= 0x8F) | (c >= 0xA8) & (c <= 0xAF))
+        run |= (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xEF) & (b == 0xBB) & (c == 0xBF)
+        at = np.delete(at, wide[run])
+    flags[at] = True
+    mark = np.flatnonzero(_MARK[d[1:-1]] & space[2:]) + 1
+    last = d[mark - 1]
+    flags[mark[_ALNUM[last]]] = True
+    mark = mark[last >= 0x80]
+    if len(mark):
+        a, b, c = (d[np.maximum(mark - k, 0)].astype(np.int64) for k in (3, 2, 1))
+        point = np.where((b >= 0xC0) & (b < 0xE0), (b & 0x1F) << 6 | c & 0x3F, np.where((a >= 0xE0) & (a < 0xF0) & (b < 0xC0), (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F, 0))
+        k = np.searchsorted(_STABLE[:, 0], point, side="right") - 1
+        flags[mark[(k >= 0) & (point <= _STABLE[np.maximum(k, 0), 1])]] = True
+    return flags
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks begin, counted from the first bound, and the first chunk of every text."""
+    own = bounds - bounds[0]
+    flags = _inner_cuts(data[int(bounds[0]) : int(bounds[-1])])
+    flags[own] = True
+    cut = np.flatnonzero(flags)
+    return cut, np.searchsorted(cut, own)
+
+
+def long_parts(data: np.ndarray, lo: int, hi: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a long text of about ``limit`` bytes, divided where it may be cut."""
+    while hi - lo > limit:
+        step = limit
+        while True:
+            found = np.flatnonzero(_inner_cuts(data[lo : min(hi, lo + step)]))
+            if len(found) or lo + step >= hi:
+                break
+            step *= 2
+        end = lo + int(found[-1]) if len(found) else hi
+        yield lo, end
+        lo = end
+    yield lo, hi
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -175,14 +224,13 @@ def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` bytes; a longer text stands alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    i, done = 0, 0
-    while i < len(ends):
-        j = max(i + 1, int(np.searchsorted(ends, done + limit, side="right")))
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, j
-        i, done = j, int(ends[j - 1])
+        i = j
 
 
 def encode(column: pa.Array, name: str, memory: int = MEMORY_CHUNKS, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -190,37 +238,14 @@ def encode(column: pa.Array, name: str, memory: int = MEMORY_CHUNKS, group_bytes
     ``memory``: how many chunks to remember (about 250 bytes each)."""
     encoder = Encoder.get(name)
     encoder.memory = memory
-    for i, j in groups(column, group_bytes):
-        texts = pc.fill_null(column.slice(i, j - i), "")
-        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-        if not unsafe.any():
-            yield i, *encoder.ids(texts)
-            continue
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * (j - i)
-        for k, ids in zip(np.flatnonzero(unsafe).tolist(), encoder.whole(texts.filter(pa.array(unsafe)).to_pylist()), strict=True):
-            parts[k] = ids
-        safe = np.flatnonzero(~unsafe)
-        if len(safe):
-            flat, bounds = encoder.ids(texts.take(pa.array(safe)))
-            for k, a, b in zip(safe.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                parts[k] = flat[a:b]
-        yield i, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-
-
-def safe_parts(text: str, limit: int) -> list[str]:
-    """Cuts a long text before a newline or space that stands between other characters; never
-    elsewhere, so a part can be longer than ``limit``."""
-    parts, at = [], 0
-    while len(text) - at > limit:
-        cut = max(text.rfind("\n", at + 1, at + limit), text.rfind(" ", at + 1, at + limit))
-        while cut > at and not (not text[cut - 1].isspace() and not text[cut + 1].isspace() and text[cut + 1].isalnum()):
-            cut = max(text.rfind("\n", at + 1, cut), text.rfind(" ", at + 1, cut))
-        if cut <= at:
-            break
-        parts.append(text[at:cut])
-        at = cut
-    parts.append(text[at:])
-    return parts
+    offsets, data = text_buffers(column)
+    for i, j in groups(offsets, group_bytes):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        if hi - lo > group_bytes:
+            flat = np.concatenate([encoder.ids(data, np.array(part))[0] for part in long_parts(data, lo, hi, group_bytes)])
+            yield i, flat, np.array([0, len(flat)])
+        else:
+            yield i, *encoder.ids(data, offsets[i : j + 1])
 
 
 def counts(docs: DataFrame, name: str = WORD_BPE, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -238,24 +263,18 @@ def counts(docs: DataFrame, name: str = WORD_BPE, limit: int = 2048, id_col: str
 
             pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name) if os.path.sep not in name else name)
         for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
-            size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens = np.zeros(len(column), np.int64)
-            for i, j in groups(column, group_bytes):
-                texts = column.slice(i, j - i)
+            offsets, data = text_buffers(batch.column(1))
+            size = np.diff(offsets)
+            tokens = np.zeros(len(size), np.int64)
+            for i, j in groups(offsets, group_bytes):
+                lo, hi = int(offsets[i]), int(offsets[j])
                 if name.endswith(".model"):
-                    tokens[i:j] = [len(x) for x in pieces.encode(texts.to_pylist(), num_threads=1)]
-                    continue
-                encoder = Encoder.get(name)
-                unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
-                safe = np.flatnonzero(~unsafe)
-                if j == i + 1 and size[i] > group_bytes and len(safe):
-                    tokens[i] = sum(int(encoder.lengths(pa.array([p], column.type))[0]) for p in safe_parts(texts[0].as_py(), group_bytes // 4))
-                    continue
-                if len(safe):
-                    tokens[i + safe] = encoder.lengths(texts.take(pa.array(safe)))
-                if unsafe.any():
-                    tokens[i + np.flatnonzero(unsafe)] = [len(x) for x in encoder.whole(texts.filter(pa.array(unsafe)).to_pylist())]
+                    texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
+                    tokens[i:j] = [len(x) for x in pieces.encode(texts, num_threads=1)]
+                elif hi - lo > group_bytes:
+                    tokens[i] = sum(int(Encoder.get(name).lengths(data, np.array(part))[0]) for part in long_parts(data, lo, hi, group_bytes))
+                else:
+                    tokens[i:j] = Encoder.get(name).lengths(data, offsets[i : j + 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(tokens), pa.array(tokens > limit)], names=[batch.schema.names[0], "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema)

@@ -154,6 +154,40 @@ def library(name, texts):
     return [e.ids for e in Tokenizer.from_file(path(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_odd_white_space_does_not_change_ids(name):
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    parts = ["a", "B", "e\u0301", "é", "Σ", "ß", "İ", "가", "一", "3", "½", " ", "  ", "\n", "\t", "\r\n", "\u2003", "\u3000", "\u00a0", "\x85", "\x1c", "\u200b", "\ufeff", ",", ".", "'s", "!", "<|endoftext|>", "<|", "|>", "ing", "\u0301", "😀", "\x0b"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 25))) for _ in range(8000)] + [None, ""]
+    want = library(name, texts)
+    for size in (tokens.GROUP_BYTES, 3000, 12):
+        got = []
+        for first, flat, bounds in tokens.encode(pa.array(texts), name, group_bytes=size):
+            assert first == len(got)
+            got += [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == want
+
+
+def test_very_long_texts(spark):
+    """Ten megabytes in one text, with blank lines, and two without any place to cut."""
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choices("abcdeéfgh", k=rnd.randint(2, 9))) for _ in range(5000)]
+    long = "\n\n".join(" ".join(rnd.choices(vocabulary, k=200)) + "." for _ in range(8000))
+    assert len(long.encode()) > 10_000_000
+    texts = [long, "x" * 300_000, "é" * 100_000, None, "short"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in (tokens.BYTE_BPE, tokens.WORD_BPE):
+        want = {i: len(ids) for i, ids in enumerate(library(name, texts))}
+        assert {r["doc_id"]: r["n_tokens"] for r in tokens.counts(table, name).collect()} == want
+    ids = library(tokens.BYTE_BPE, texts)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_file.round_trip(table).collect()} == {i: len(x) + 1 for i, x in enumerate(ids)}
+    packed = packing.pack_documents(table).collect()
+    assert sum(r["length"] for r in packed) == sum(len(x) + 1 for x in ids)
+    assert len({r["sequence_id"] for r in packed}) == -(-sum(len(x) + 1 for x in ids) // 1024)
+
+
 @pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
 def test_token_counts_equal_the_library(docs, empty, name):
     rnd = random.Random(3)
@@ -162,7 +196,7 @@ def test_token_counts_equal_the_library(docs, empty, name):
     for table in (docs.select("doc_id", "text"), odd):
         rows = table.collect()
         want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(i), len(i) > 2048) for r, i in zip(rows, library(name, [r["text"] for r in rows]), strict=True))
-        for size in (tokens.GROUP_BYTES, 500):
+        for size in (tokens.GROUP_BYTES, 500, 7):
             got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.counts(table, name, group_bytes=size).collect())
             assert got == want
     assert tokens.counts(empty, name).count() == 0
@@ -196,10 +230,52 @@ def test_packing_keeps_the_contract(docs, empty):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(bins) <= -(-sum(lengths) // 1024) + 1
+    counts = Counter(r["length"] for r in rows)
+    assert len(bins) <= len(best_fit(counts.elements(), 1024))
     assert packing.pack_documents(empty).count() == 0
 
 
+def best_fit(lengths, capacity):
+    """Plain best-fit decreasing, piece by piece: what each sequence has left."""
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fits = [x for x in left if x >= n]
+        if fits:
+            left.remove(min(fits))
+        left.append((min(fits) if fits else capacity) - n)
+    return left
+
+
+def test_packing_is_never_worse_than_best_fit(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sizes = [len(i) + 1 for i in library(tokens.BYTE_BPE, texts)]
+    whole = Counter(x for n in sizes for x in [1024] * ((n - 1) // 1024) + [(n - 1) % 1024 + 1])
+    rnd = random.Random(6)
+    cases = [(whole, 1024)] + [(Counter(rnd.choices(range(1, c + 1), k=rnd.randint(1, 400))), c) for c in (16, 64, 200) for _ in range(15)]
+    for counts, capacity in cases:
+        got = sum(k for _, k in packing.plan(dict(counts), capacity))
+        assert -(-sum(n * k for n, k in counts.items()) // capacity) <= got <= len(best_fit(counts.elements(), capacity))
+    assert sum(k for _, k in packing.plan(dict(whole))) <= 964
+
+
+def test_complement_index_stays_true():
+    import numpy as np
+
+    rnd = random.Random(3)
+    have = np.array([0] + [rnd.randint(0, 2) for _ in range(50)])
+    index = packing.Complements(have)
+    for x in rnd.sample([k for k in range(51) if have[k]], 25):
+        index._gone(x)
+        assert (index.pairs == np.convolve(index.one, index.one)[:51]).all()
+        assert (index.triples == np.convolve(np.convolve(index.one, index.one), index.one)[:51]).all()
+
+
+def test_packing_takes_clashing_names(spark):
+    items = spark.createDataFrame([(i, i % 7 + 1, i, i, i) for i in range(50)], "doc_id long, length long, __bucket int, __rank int, __before int")
+    rows = packing.pack(items, ["doc_id"], 16).collect()
+    assert len(rows) == 50 and all(r["__rank"] == r["__bucket"] == r["doc_id"] for r in rows)
+
+
 def test_packing_plan_uses_exact_complements():
     pattern = dict(packing.plan({600: 3, 424: 2, 200: 1, 224: 1, 300: 1}, 1024))
     assert pattern[(600, 424)] == 2 and pattern[(600, 224, 200)] == 1
