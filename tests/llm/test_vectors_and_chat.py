@@ -6,28 +6,63 @@ import pytest
 from tessera.llm import chat, embedding_dedup, huffman, registry
 
 
-def test_embedding_links(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
-    monkeypatch.setattr(embedding_dedup, "WINDOW", 20)
-    rng = np.random.default_rng(5)
-    base = rng.standard_normal((20, 16))
-    vectors = [base[i % 20] + rng.standard_normal(16) * rng.choice([0, 0.05, 0.2, 0.3]) for i in range(300)]
-    rows = [(i, v.astype(np.float32).tolist(), i % 20 % 3, "x") for i, v in enumerate(vectors)]
-    rows += [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, "x"), (1002, [float("nan")] * 16, 1, "x"), (1003, [None] * 16, 1, "x"), (1004, rows[0][1], None, "x"), (1005, [], 1, "x"), (1006, rows[0][1], 0, "x"), (1006, rows[0][1], 0, "x"), (1007, [3.0 * x for x in rows[0][1]], 0, "x")]
+def _brute(rows, threshold=0.93):
+    """``(id, links, component, kept)`` of rows (id, vector, label), every pair compared."""
+    ok = lambda v, label: label is not None and v and all(x is not None for x in v) and np.isfinite(v).all() and any(v)
+    good = [k for k, (_, v, label, *_) in enumerate(rows) if ok(v, label)]
+    near = np.zeros((len(rows), len(rows)), bool)
+    for a in good:
+        for b in good:
+            if a < b and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
+                x, y = np.array(rows[a][1], float), np.array(rows[b][1], float)
+                near[a, b] = near[b, a] = x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold
+    group = list(range(len(rows)))
+    for a, b in zip(*np.nonzero(np.triu(near)), strict=True):
+        group = [group[a] if g == group[b] else g for g in group]
+    least = {g: min(r[0] for r, x in zip(rows, group, strict=True) if x == g) for g in set(group)}
+    return sorted((r[0], int(near[k].sum()), least[group[k]], r[0] == least[group[k]]) for k, r in enumerate(rows))
+
+
+def _cluttered(rng, n, kinds):
+    base = rng.standard_normal((kinds, 16))
+    vectors = [base[i % kinds] + rng.standard_normal(16) * rng.choice([0, 0.05, 0.2, 0.3]) for i in range(n)]
+    return [(i, v.astype(np.float32).tolist(), i % kinds % 3, "x") for i, v in enumerate(vectors)]
+
+
+@pytest.mark.parametrize(("exact", "window", "part", "tile"), [(False, 20, 1 << 18, 16384), (False, 40, 100, 16), (False, 1024, 1 << 18, 16384), (True, 20, 100, 16), (True, 20, 100, 16384)])
+def test_embedding_links(spark, monkeypatch, exact, window, part, tile):
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "WINDOW", window)
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", part)
+    rows = _cluttered(np.random.default_rng(5), 300, 20)
+    one = rows[0][1]
+    rows += [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, "x"), (1002, [float("nan")] * 16, 1, "x"), (1003, [None] * 16, 1, "x"), (1004, one, None, "x"), (1005, [], 1, "x"), (1006, one, 0, "x"), (1006, one, 0, "x"), (1007, [3.0 * x for x in one], 0, "x"), (1008, one[:8], 0, "x"), (1009, one[:8], 0, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, kept string")
-    good = [(i, np.array(v, float), label) for i, v, label, _ in rows if label is not None and v and all(x is not None for x in v) and np.isfinite(v).all() and any(v)]
-    unit = np.array([v / np.linalg.norm(v) for _, v, _ in good])
-    near = (unit @ unit.T >= 0.93) & (np.array([g[2] for g in good])[:, None] == np.array([g[2] for g in good]))
-    np.fill_diagonal(near, False)
-    root = np.array([g[0] for g in good])
-    while True:
-        new = np.array([min([root[k], *root[near[k]]]) for k in range(len(good))])
-        if (new == root).all():
-            break
-        root = new
-    want = sorted([(g[0], int(near[k].sum()), int(root[k]), g[0] == root[k]) for k, g in enumerate(good)] + [(i, 0, i, True) for i in range(1000, 1006)])
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(table, exact=exact).collect())) == _brute(rows)
+    assert embedding_dedup.near_duplicates(table.limit(0), exact=exact).count() == 0
+
+
+def test_embedding_windows_reach_over_many_edges(spark, monkeypatch):
+    """One hot group of near copies, far larger than a window, over partitions smaller than one."""
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(24)
+    rows = [(i, (centre + 0.08 * rng.standard_normal(24) if i % 2 else rng.standard_normal(24)).astype(np.float32).tolist(), 1, "x") for i in range(700)]
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 64)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, kept string")
+    classes = embedding_dedup.near_duplicates(table)
+    want = _brute(rows)
+    assert sorted(map(tuple, classes.collect())) == want
+    # the same with partitions of about 20 rows
+    found = embedding_dedup._scanned
+    monkeypatch.setattr(embedding_dedup, "_scanned", lambda coded, parts, threshold: found(coded, 300, threshold))
     assert sorted(map(tuple, embedding_dedup.near_duplicates(table).collect())) == want
-    assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_embedding_recall_against_every_pair(spark):
+    """The query's parameters on the whole table, against the exact switch."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = lambda **given: sorted(map(tuple, embedding_dedup.near_duplicates(table, **given).collect()))
+    assert rows(threshold=0.4) == rows(threshold=0.4, exact=True) and rows() == rows(exact=True)
 
 
 def test_chat_segments_join_to_texts(spark):
