@@ -70,7 +70,8 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, bytes]:
-    """The bits of ids (from each byte's highest bit) and the checkpoints (little-endian uint32)."""
+    """The bits of ids (from each byte's highest bit) and the checkpoints (little-endian uint32, or
+    uint64 where a block has more bits than that holds)."""
     if not len(ids):
         return b"", b""
     size = lengths[ids].astype(np.int64)
@@ -84,7 +85,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byt
     out[word[first]] = np.bitwise_or.reduceat(head, first)
     over = np.flatnonzero(shift < 0)
     out[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
-    return out.byteswap().tobytes()[: int(end[-1] + 7 >> 3)], start[::STRIDE].astype("<u4").tobytes()
+    return out.byteswap().tobytes()[: int(end[-1] + 7 >> 3)], start[::STRIDE].astype("<u4" if int(end[-1]) <= 0xFFFFFFFF else "<u8").tobytes()
 
 
 def decode(payloads: list[bytes], checkpoints: list[bytes], sizes: list[int], table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -93,7 +94,8 @@ def decode(payloads: list[bytes], checkpoints: list[bytes], sizes: list[int], ta
     data = np.frombuffer(b"".join(payloads) + bytes(4 * MAX_BITS), np.uint8).astype(np.uint32)
     window = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
     base = 8 * np.concatenate([[0], np.cumsum([len(p) for p in payloads])])
-    marks = [np.frombuffer(c, "<u4").astype(np.int64) + b for c, b in zip(checkpoints, base[:-1].tolist(), strict=True)]
+    wide = [len(c) > 4 * -(-n // STRIDE) for c, n in zip(checkpoints, sizes, strict=True)]
+    marks = [np.frombuffer(c, "<u8" if w else "<u4").astype(np.int64) + b for c, b, w in zip(checkpoints, base[:-1].tolist(), wide, strict=True)]
     at = np.concatenate([*marks, np.zeros(0, np.int64)])
     last = 8 * len(window) - 8
     out = np.empty((STRIDE, len(at)), np.uint32)

@@ -11,12 +11,13 @@ reruns agree.
 Null text has size 0; null source is a source of its own, last in order. A source without words has
 target 0 and is not taken. Repeated rows are documents of their own; rows equal in id, size and text
 may stand either way round and get results that are the same as a set. Empty tables give empty
-results. Columns that are carried keep their names and values; names starting with ``__`` are taken.
+results. Columns that are carried keep their names and values, whatever the names. The table of sources
+(one row each) is sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.ordering import numbered
@@ -57,9 +58,10 @@ def word_count(text):
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+", ""), r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")).cast("long")
 
 
-def mix(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Every document's ``carry`` columns with ``__size``, ``__source_size``, ``__target``, ``__copies``."""
-    kept = [F.col(c) for c in carry]
+def _mixed(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Every document's ``carry`` columns under the names ``__0``, ``__1`` and so on, with ``__size``,
+    ``__source_size``, ``__target``, ``__copies``; so no input name can clash with ours."""
+    kept = [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(carry)]
     rows = docs.select(*kept, F.col(id_col).alias("__doc"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__tie"))
     rows = numbered(rows, [F.col("__source").asc_nulls_last(), "__size", "__doc", "__tie"], "mixing")
     runs = rows.groupBy("__source", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"), F.sum("__size").alias("__words"))
@@ -72,18 +74,23 @@ def mix(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str
     at = (F.col("__at") + F.col("__shift")).cast("double")
     start = _offset(F.col("__source"))
     copies = F.floor(start + (at + 1) * rate) - F.floor(start + at * rate)
-    return rows.select(*kept, "__size", "__source_size", "__target", F.least(copies, F.lit(most)).cast("long").alias("__copies"))
+    return rows.select(*(f"__{k}" for k in range(len(carry))), "__size", "__source_size", "__target", F.least(copies, F.lit(most)).cast("long").alias("__copies"))
+
+
+def _named(carry: list[str]) -> list[Column]:
+    return [F.col(f"__{k}").alias(c) for k, c in enumerate(carry)]
 
 
 def mixed_documents(docs: DataFrame, **given) -> DataFrame:
     """The documents of the mix in the columns of ``docs``; one row for each copy taken."""
-    rows = mix(docs, docs.columns, **given).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows = _mixed(docs, docs.columns, **given).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*_named(docs.columns))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", **given) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` of every document."""
-    return mix(docs, [id_col], id_col=id_col, **given).select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    rows = _mixed(docs, [id_col], id_col=id_col, **given)
+    return rows.select(*_named([id_col]), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 ORACLE_SQL = rf"""

@@ -13,7 +13,7 @@ removed lines held more than ``MAX_LOST_PERCENT`` of its word characters.
 Null and empty texts have no words: all figures are 0, ``base_failed`` is true, ``kept`` false.
 Repeated rows each get their own, equal, result. Other columns are not read by :func:`figures` and
 pass through :func:`clean`; an empty table gives an empty table. One text is scanned at a time with
-about 40 bytes of memory per byte of the longest text; no rule looks at more than one document.
+about 35 bytes of memory per byte of the longest text; no rule looks at more than one document.
 """
 
 from __future__ import annotations
@@ -34,10 +34,17 @@ ENDINGS = b".!?:;\"')]}"
 #: Sentence ends and closing quotes of more than one byte, as the last bytes of a word.
 WIDE_ENDINGS = ("。", "！", "？", "…", "”", "»")
 MENU = b"|>/-"
+#: Stock phrases of pages, in the corpus's languages (English, German, French, Spanish); a parameter.
 PHRASES = (
     "all rights reserved", "privacy policy", "cookie policy", "terms of use", "terms of service",
     "accept cookies", "use cookies", "enable javascript", "requires javascript", "lorem ipsum", "click here",
     "sign up", "log in", "subscribe to our newsletter", "share on", "skip to content", "back to top",
+    "alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "klicken sie hier",
+    "jetzt anmelden", "newsletter abonnieren", "teilen auf", "zum inhalt springen", "nach oben",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies", "cliquez ici",
+    "se connecter", "s'inscrire", "abonnez-vous", "partager sur", "aller au contenu", "haut de page",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "haga clic aquí",
+    "iniciar sesión", "regístrate", "suscríbete", "compartir en", "saltar al contenido", "volver arriba",
 )
 #: A line with a stock phrase and at most so many words is boilerplate.
 PHRASE_LINE_WORDS = 15
@@ -61,7 +68,7 @@ _FOLD[65:91] += 32
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(flags) + 1, np.int64)
+    out = np.zeros(len(flags) + 1, np.int32 if flags.dtype == bool and len(flags) < 1 << 31 else np.int64)
     np.cumsum(flags, out=out[1:])
     return out
 
@@ -107,10 +114,9 @@ def _repeat_words(scan: Scan, size: int = 3) -> np.ndarray:
     return covered[scan.last] - covered[scan.first]
 
 
-def examine(scan: Scan) -> dict[str, np.ndarray]:
+def examine(scan: Scan, phrases: tuple[str, ...] = PHRASES) -> dict[str, np.ndarray]:
     """Figures of every text of a scan, and of every line: where it lies and whether it is removed."""
     data, n_docs = scan.data, len(scan.lo)
-    solid = np.zeros(len(data), bool)
     # a line of document d begins at its first byte and after every newline inside it
     breaks = np.flatnonzero(data == _NEWLINE)
     per_doc = np.searchsorted(breaks, scan.hi) - np.searchsorted(breaks, scan.lo) + 1
@@ -151,7 +157,7 @@ def examine(scan: Scan) -> dict[str, np.ndarray]:
     later[worded] = _later_equal(line_doc[worded], scan.span_hash(line_lo[worded], line_hi[worded]))
     stock = np.zeros(len(words), bool)
     folded = _FOLD[data].tobytes()
-    for phrase in PHRASES:
+    for phrase in phrases:
         p, at = phrase.encode(), folded.find(phrase.encode())
         while at >= 0:
             k = int(np.searchsorted(line_lo, at, side="right")) - 1
@@ -178,21 +184,21 @@ def examine(scan: Scan) -> dict[str, np.ndarray]:
     }
 
 
-def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple[str, ...] = PHRASES) -> DataFrame:
     """One row per document: its id and :data:`FIGURES`. Narrow: no shuffle."""
     schema = T.StructType([docs.schema[id_col], *FIGURES])
 
     def run(batches):
         target = pa.schema([(f.name, pa.bool_() if f.dataType == T.BooleanType() else pa.int64()) for f in FIGURES])
         for batch in batches:
-            parts = [examine(scan) for scan in scans(batch.column(1), lower=False)]
+            parts = [examine(scan, phrases) for scan in scans(batch.column(1), lower=False)]
             arrays = [pa.array(np.concatenate([p[f.name] for p in parts]) if parts else [], f.type) for f in target]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[batch.schema.names[0], *target.names])
 
     return docs.select(id_col, text_col).mapInArrow(released(run), schema)
 
 
-def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", phrases: tuple[str, ...] = PHRASES) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of ``docs``.
 
     ``chars_col``, where there is such a column, becomes the length of the cleaned text.
@@ -204,7 +210,7 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
         for batch in batches:
             keep, texts = [], []
             for scan in scans(batch.column(at), lower=False):
-                x = examine(scan)
+                x = examine(scan, phrases)
                 raw = scan.data.tobytes()
                 for k in np.flatnonzero(x["kept"]).tolist():
                     a, n = int(x["line_head"][k]), int(x["line_count"][k])

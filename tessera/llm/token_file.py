@@ -8,13 +8,12 @@ decoded with the code book alone. Blocks hold about ``BLOCK_IDS`` ids or one lon
 Writing: documents are range-partitioned and sorted by id; token ids are computed once and written;
 their global counts (one row per id of the vocabulary) give the code book; then blocks are coded.
 
-Null and empty texts have the end id alone. Equal ``doc_id`` stand together, ordered by text; a null
-one comes first. Other columns are ignored. An empty table gives a file without blocks.
+Null and empty texts have the end id alone. Equal ``doc_id`` stand together, ordered by a hash of the
+text, then by text, over as many partitions as they need; a null one comes first. Other columns are ignored. An empty table gives a file without blocks.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import huffman
 from tessera.llm.memory import released
-from tessera.llm.storage import shared_dir, store
+from tessera.llm.storage import discard, new_path, store
 from tessera.llm.tokens import BYTE_BPE, encode
 
 END_ID = 0
@@ -58,8 +57,8 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(at + ends - n), batch.column(0).slice(i, len(n)), pa.array(n), column], names=schema.names)
                 at += int(ends[-1]) if len(ends) else 0
 
-    order = [F.col(id_col).asc_nulls_first(), F.col(text_col)]
-    ready = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(*order)
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # deals out the texts of a repeated id
+    ready = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first(), tie).sortWithinPartitions(F.col(id_col).asc_nulls_first(), tie, F.col(text_col))
     return store(ready.mapInArrow(released(run), schema), "tokens", "zstd")
 
 
@@ -123,6 +122,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = E
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=schema.names)
 
     tokens.mapInArrow(released(run), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(tokens)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
 
@@ -162,6 +162,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, **given) -> DataFrame:
     """Writes a file in the shared folder and returns what :func:`digests` reads from it."""
-    path = f"{shared_dir(docs.sparkSession)}/tessera/token-file-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "token-file")
     write(docs, path, **given)
     return digests(docs.sparkSession, path)

@@ -28,22 +28,36 @@ _BASE = int(_ODD[15]) | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SEPARATORS)] = True
-_powers: list[np.ndarray] = []
+#: Places in a table of powers; those further on are products of two entries.
+_STEP = 1 << 16
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse; those of ordinary groups are kept."""
-    if _powers and len(_powers[0]) > n:
-        return _powers[0], _powers[1]
-    size = max(n, GROUP_BYTES + (1 << 17)) + 1
-    tables = []
-    for base in (_BASE, _INVERSE):
-        t = np.full(size, base, np.uint64)
-        t[0] = 1
-        tables.append(np.cumprod(t))
-    if size <= 4 * GROUP_BYTES:
-        _powers[:] = tables
-    return tables[0], tables[1]
+def _powers(base: int) -> np.ndarray:
+    t = np.full(_STEP, base, np.uint64)
+    t[0] = 1
+    return np.cumprod(t)
+
+
+_POWER, _INVERSE_POWER = _powers(_BASE), _powers(_INVERSE)
+
+
+def _inverse_at(at: np.ndarray) -> np.ndarray:
+    """The inverse of the base to these powers."""
+    high = int(at.max()) // _STEP + 1 if len(at) else 1
+    far = np.cumprod(np.concatenate([[np.uint64(1)], np.full(high, pow(_INVERSE, _STEP, 1 << 64), np.uint64)]))
+    return _INVERSE_POWER[at % _STEP] * far[at // _STEP]
+
+
+def _running_sum(values: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each place, the sum of the values of the bytes before it, times powers of the base."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    factor = 1
+    for a in range(0, len(data), _STEP):
+        part = values[data[a : a + _STEP]] * _POWER[: min(_STEP, len(data) - a)]
+        np.cumsum(part * np.uint64(factor), out=out[a + 1 : a + 1 + len(part)])
+        out[a + 1 : a + 1 + len(part)] += out[a]
+        factor = factor * pow(_BASE, _STEP, 1 << 64) % (1 << 64)
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,11 +86,10 @@ class Scan:
     first: np.ndarray
     last: np.ndarray
     running: np.ndarray
-    inverse: np.ndarray
 
     def span_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges [a, b), the empty range included."""
-        h = (self.running[b] - self.running[a]) * self.inverse[a]
+        h = (self.running[b] - self.running[a]) * _inverse_at(a)
         return mix(h + (b - a).astype(np.uint64) * _ODD[14])
 
 
@@ -109,9 +122,7 @@ def scans(column: pa.Array, lower: bool) -> Iterator[Scan]:
 def _scan(rows: range, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Scan:
     n = len(data)
     lo, hi = offsets[:-1], offsets[1:]
-    power, inverse = _power_tables(n)
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * power[:n], out=running[1:])
+    running = _running_sum(_LOWER if lower else _BYTE, data)
     solid = np.zeros(n + 2, bool)
     solid[1:-1] = ~_SPACE[data]
     begins = solid[1:-1] & ~solid[:-2]
@@ -120,8 +131,8 @@ def _scan(rows: range, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Sc
     begins[lo[full]] = solid[lo[full] + 1]
     ends[hi[full] - 1] = solid[hi[full]]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    word = mix((running[end] - running[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[13])
-    return Scan(rows, data, lo, hi, start, end, word, np.searchsorted(start, lo), np.searchsorted(start, hi), running, inverse)
+    word = mix((running[end] - running[start]) * _inverse_at(start) + (end - start).astype(np.uint64) * _ODD[13])
+    return Scan(rows, data, lo, hi, start, end, word, np.searchsorted(start, lo), np.searchsorted(start, hi), running)
 
 
 def window_hashes(word: np.ndarray, size: int) -> np.ndarray:

@@ -67,6 +67,60 @@ def test_quality_base_figures(docs, empty):
     assert quality.figures(empty).count() == 0
 
 
+def plain_quality(text):
+    """Kept or not, and the cleaned text, line by line with plain strings."""
+    text = text or ""
+    w, found = words(text), Counter()
+    for i in range(len(w) - 2):
+        found[tuple(w[i : i + 3])] += 1
+    repeated = {k for i in range(len(w) - 2) if found[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
+    seen, left, lost = set(), [], 0
+    for line in text.split("\n"):
+        own = words(line)
+        if not own:
+            left.append(line)
+            continue
+        ended = [x.endswith((".", "!", "?", ":", ";", '"', "'", ")", "]", "}", "。", "！", "？", "…", "”", "»")) for x in own]
+        size = sum(map(len, own))
+        symbols = sum(c in "#*$%&|<>" for c in line)
+        shouts = sum(x.endswith("!!") and len(x.encode()) > 2 for x in own)
+        separators = sum(x in ("|", ">", "/", "-") for x in own)
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+        bad = 10 * symbols > size or 2 * shouts > len(own) or not (ended[-1] or len(own) >= 8 and any(ended))
+        bad |= separators >= 2 and 5 * separators >= len(own)
+        bad |= line in seen or len(own) <= 15 and any(p in low for p in quality.PHRASES)
+        seen.add(line)
+        if bad:
+            lost += size
+        else:
+            left.append(line)
+    kept = len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and 100 * lost <= 50 * sum(map(len, w))
+    return kept, "\n".join(left)
+
+
+def test_quality_verdict_and_cleaned_text(docs, spark):
+    rnd = random.Random(9)
+    parts = ["word", "Ende.", "fin!", "ÉTÉ", "buy!!", "ab|cd", "|", ">", "-", "###", "Click here", "haut de page", "“so”", "日本。", "a", "naïve", "x" * 30, "(etc)"]
+    made = ["\n".join(" ".join(rnd.choices(parts + [f"v{rnd.randint(0, 300)}" for _ in range(60)], k=rnd.choice([0, 1, 5, 9, 14, 40]))) + rnd.choice(["", ".", " ", "\r"]) for _ in range(rnd.randint(1, 25))) for _ in range(500)]
+    made += [made[3] + "\n" + made[3], "\n\n", *ODD]
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts = made + real + [r["text"] for r in docs.collect()]
+    table = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    want = {i: plain_quality(t) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["kept"] for r in quality.figures(table).collect()}
+    assert got == {i: k for i, (k, _) in want.items()} and 100 < sum(got.values()) < len(got)
+    cleaned = {r["doc_id"]: (r["text"], r["n_chars"]) for r in quality.clean(table).collect()}
+    assert cleaned == {i: (t, len(t)) for i, (k, t) in want.items() if k}
+
+
+def test_quality_of_a_very_long_text(spark):
+    rnd = random.Random(2)
+    line = lambda: " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(12)) + "."
+    long = "\n".join(line() for _ in range(40_000)) + "\nHome | Shop | Contact"
+    rows = quality.figures(spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_words"], r["kept"], r["n_lines_removed"]) for r in rows} == {(1, 480_005, True, 1), (2, 1, False, 1)}
+
+
 def test_quality_keeps_prose_and_rejects_junk(spark):
     rnd = random.Random(1)
     prose = "\n".join(" ".join("".join(rnd.choices("abcdefg", k=5)) for _ in range(12)).capitalize() + "." for _ in range(10))
@@ -306,6 +360,24 @@ def test_shards_are_the_smallest_possible(docs, empty, monkeypatch):
         groups.setdefault(r["text"], set()).add(by_doc[(r["doc_id"], zlib.crc32((r["text"] or "").encode()))])
     assert all(len(s) == 1 for s in groups.values())
     assert sharding.shard(empty).count() == 0
+    # the smallest capacity, by trying every sum of neighbouring groups in the order of the shards
+    ends, at, last = [], 0, None
+    for r in sorted(rows, key=lambda r: (r["shard"], r["slot"])):
+        if last is not None and r["text_crc32"] != last:
+            ends.append(at)
+        at, last = at + r["size"], r["text_crc32"]
+    ends.append(at)
+
+    def needed(capacity):
+        used, begin = 0, 0
+        while begin < at:
+            fits = [e for e in ends if begin < e <= begin + capacity]
+            if not fits:
+                return 99
+            begin, used = max(fits), used + 1
+        return used
+
+    assert needed(max(sizes.values())) <= 5 < needed(max(sizes.values()) - 1)
 
 
 @pytest.mark.parametrize("blocks", [16, 1 << 15])
@@ -359,7 +431,69 @@ def test_license_scan(docs, empty, spark):
     assert [rows[i]["license"] for i in range(6)] == ["MIT", "MIT", None, None, None, None]
     assert rows[3]["notices"] == "MIT" and rows[3]["n_notices"] == 1 and rows[5]["notices"] == ""
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
-    assert all(licenses.STEM in licenses.canonical_text(n) for n in licenses.NOTICES)
     own = [(i, t) for i, t in enumerate([*ODD, *licenses.TEXTS.values(), "© x\nText—with “marks” and Ünïcode"])]
     got = spark.createDataFrame(own, "i int, text string").select("i", licenses.canonical(F.coalesce("text", F.lit(""))).alias("c")).collect()
     assert {r["i"]: r["c"] for r in got} == {i: licenses.canonical_text(t or "") for i, t in own}
+
+
+def test_whole_license_texts(spark):
+    """Every known text, wrapped, titled, with a notice and with other spellings, and inside other text."""
+    import os
+    import textwrap
+
+    rows, want = [], {}
+
+    def add(text, name):
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+
+    for name, text in licenses.TEXTS.items():
+        for title in ("", *licenses.TITLES.get(name, ())):
+            add("\n".join(textwrap.wrap(f"{title}\n\n{text}" if title else text, 60)), name)
+            add(f"{title.upper()}\n\nCopyright (c) 1999-2024, The Authors <x@example.org>\nAll rights reserved.\n\n" + text.replace("license", "licence").replace("copyright notice", "\ncopyright notice"), name)
+        add(text[:-30], None)
+    folder = "/usr/share/common-licenses"
+    shipped = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0"}
+    for file, name in shipped.items():
+        if os.path.exists(f"{folder}/{file}"):
+            text = open(f"{folder}/{file}", encoding="utf-8").read()
+            add(text, name)
+            add(text.upper().replace("LICENSE", "LICENCE").replace("; ", " ;\t"), name)
+            if not any(re.match(licenses.NOTICE_LINE, line) for line in text.lower().split("\n")):
+                add(" ".join(text.split()), name)
+            add(text[: len(text) // 2], None)
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["license"] for i, r in got.items()} == want
+    inside = "Foreword.\n" + licenses.TEXTS["ISC"] + "\nThe end."
+    own = licenses.scan(spark.createDataFrame([(1, inside), (2, "my own notice\nhere")], "doc_id long, text string"))
+    assert {r["doc_id"]: (r["license"], r["notices"]) for r in own.collect()} == {1: (None, "ISC"), 2: (None, "")}
+    import hashlib
+
+    table = {hashlib.sha256(b"my own notice").hexdigest(): "X"}
+    given = licenses.scan(spark.createDataFrame([(1, inside), (2, "My own  notice!\nhere")], "doc_id long, text string"), table=table)
+    assert {r["doc_id"]: r["notices"] for r in given.collect()} == {1: "", 2: "X"}
+
+
+def test_mix_takes_any_column_name(spark):
+    rows = [(i, f"w{i} " * (i % 9), "ab"[i % 2], i, i, i) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __0 int, __copies int")
+    out = mixing.mixed_documents(table)
+    assert out.columns == table.columns and all(r["__size"] == r["__0"] == r["__copies"] == r["doc_id"] for r in out.collect())
+
+
+def test_token_file_with_null_and_repeated_ids(docs):
+    rows = docs.select("doc_id", "text").collect()
+    got = token_file.round_trip(docs).collect()
+    size = {}
+    for r, ids in zip(rows, library(tokens.BYTE_BPE, [r["text"] for r in rows]), strict=True):
+        size.setdefault(str(r["doc_id"]), []).append((len(ids) + 1, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*ids, 0]))))
+    have = {}
+    for r in got:
+        have.setdefault(str(r["doc_id"]), []).append((r["n_tokens"], r["ids_crc32"]))
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in size.items()}
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda x: (x is not None, x))
