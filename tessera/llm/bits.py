@@ -26,8 +26,8 @@ def _unpack(payload: bytes, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(payload, decompressed_size=2 * size, codec=_CODEC, asbytes=True), np.uint16)
 
 
-def reached(parts: DataFrame, bits: int, least: int) -> np.ndarray:
-    """A bool array of 2**bits: which counters sum to ``least`` or more over the rows
+def reached(parts: DataFrame, bits: int, *least: int) -> list[np.ndarray]:
+    """For each of ``least`` a bool array of 2**bits: which counters sum to that or more over the rows
     (``piece`` int, ``payload`` binary) of ``parts``."""
     size = 1 << min(PIECE_BITS, bits)
 
@@ -35,9 +35,9 @@ def reached(parts: DataFrame, bits: int, least: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for p in table.column("payload"):
             total += _unpack(p.as_py(), size)
-        return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "payload": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+        return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "payload": pa.array([b"".join(np.packbits(total >= k).tobytes() for k in least)], pa.binary())})
 
-    out = np.zeros((1 << bits) // size * (size // 8), np.uint8).reshape(-1, size // 8)
+    out = np.zeros(((1 << bits) // size, len(least), size // 8), np.uint8)
     for row in parts.groupBy("piece").applyInArrow(add, "piece int, payload binary").toLocalIterator():
-        out[row["piece"]] = np.frombuffer(row["payload"], np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
+        out[row["piece"]] = np.frombuffer(row["payload"], np.uint8).reshape(len(least), -1)
+    return [np.unpackbits(np.ascontiguousarray(out[:, k]).reshape(-1)).astype(bool) for k in range(len(least))]

@@ -21,6 +21,9 @@ pairs of tiles. A sketch discards a pair only when it is far from the threshold
 all others are verified on their exact sets. So a group of near copies costs about its size in pairs.
 These pairs connect the components; they are not all links.
 
+Hot lists, those that the counters show to be longer than a task should take, are dealt out by their
+sets from the start and compared as long ones. ``exact=True`` uses whole prefixes and no sketches.
+
 Links are counted afterwards: each stands inside one component, so all sets of a component are compared
 exactly with each other, large components as pairs of tiles. Each pair meets once and gives a count for
 its sets, never a row.
@@ -47,7 +50,7 @@ from pyspark.sql import types as T
 from tessera.llm.bits import pieces, reached
 from tessera.llm.components import components
 from tessera.llm.memory import release, released
-from tessera.llm.storage import store
+from tessera.llm.storage import discard, store
 from tessera.llm.words import mix, scans, shingle_sets
 
 SIZE = 5
@@ -71,6 +74,8 @@ TILE = 4096
 #: Sets, and bytes of them, that a tile of a component holds when links are counted.
 COUNT_TILE = 2048
 COUNT_BYTES = 16 << 20
+#: Places that the entries of a hot list are dealt to.
+SALTS = 32
 #: Columns of an overlap that are multiplied at once.
 COLUMNS = 2048
 #: Sets with this share of frequent shingles, or more, use the hash order ...
@@ -84,9 +89,11 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def listed(n: int, frequent: int) -> int:
+def listed(n: int, frequent: int, exact: bool = False) -> int:
     """How many first shingles a set of n, ``frequent`` of them frequent, enters into lists."""
     full = n - needed(n) + 1
+    if exact:
+        return full
     rare = 1 - frequent / n
     other = (100 / PERCENT - 1) / rare if rare > 0 else 1.0  # the greatest share of rare shingles not in common
     return full if other >= 0.97 else min(full, math.ceil(math.log(MISS) / math.log(other)))
@@ -169,43 +176,50 @@ def boundary(mean_live: float) -> int:
     return x
 
 
-def _postings(docs: DataFrame, text_col: str, frequent, small: int) -> DataFrame:
-    """``key``, ``cls``, ``n``: the subsets and list entries of every set, once per task and class."""
+def _postings(docs: DataFrame, text_col: str, tables, small: int, exact: bool) -> DataFrame:
+    """``key``, ``cls``, ``n``, ``hot``: the subsets and list entries of every set, once per task and
+    class. ``tables``: which shingles are frequent, and which are hot; a subset is hot if both of its are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).view(bool)
+        table, heat = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in tables.value)
+        is_hot = lambda s: heat[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
         seen: set[bytes] = set()
         low = needed(small + 1)  # smaller sets link to no large one
         for batch in batches:
             for scan in scans(batch.column(0), lower=True):
-                keys, owners, counts, sizes = [], [], [], []
+                keys, hot, owners, counts, sizes = [], [], [], [], []
                 for _, s in shingle_sets(scan, SIZE):
                     n = len(s)
                     if n < 3 or (cls := _digest(s)) in seen:  # below 3, linked sets are equal
                         continue
                     seen.add(cls)
                     o = _ordered(s, table)
-                    own = []
+                    own, warm = [], []
                     if n <= small:
                         p = np.sort(o[: n - needed(n) + 2])
                         i, j = np.triu_indices(len(p), 1)
                         own.append(mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + mix(p[j])))
+                        h = is_hot(p)
+                        warm.append(h[i] & h[j])
                     if n > small or n >= low:
                         f = int(table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].sum())
                         if f >= HASH_ORDER_FROM * n:
-                            own.append(s[: listed(n, 0)])
+                            own.append(s[: listed(n, 0, exact)])
+                            warm.append(is_hot(own[-1]))
                         if f < RARE_ORDER_BELOW * n:
-                            own.append(o[: listed(n, f)])
-                    k = np.unique(np.concatenate(own))
+                            own.append(o[: listed(n, f, exact)])
+                            warm.append(is_hot(own[-1]))
+                    k, at = np.unique(np.concatenate(own), return_index=True)
                     keys.append(k)
+                    hot.append(np.concatenate(warm)[at])
                     owners.append(cls)
                     counts.append(len(k))
                     sizes.append(n)
                 if keys:
                     at = np.repeat(np.arange(len(owners)), counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owners, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at])], names=["key", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owners, pa.binary()).take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), pa.array(np.concatenate(hot))], names=["key", "cls", "n", "hot"])
 
-    return docs.select(F.col(text_col)).mapInArrow(released(run), "key long, cls binary, n long")
+    return docs.select(F.col(text_col)).mapInArrow(released(run), "key long, cls binary, n long, hot boolean")
 
 
 def _links_possible(a: int, b: int) -> bool:
@@ -213,7 +227,9 @@ def _links_possible(a: int, b: int) -> bool:
 
 
 def _scan_lists(postings: DataFrame) -> DataFrame:
-    """``long`` false: pairs (a, b) of short lists; ``long`` true: entries (key, a, n) of long ones."""
+    """``long`` false: pairs (a, b) of short lists; ``long`` true: entries (key, a, n) of long ones.
+
+    Hot lists are long whatever they hold, and dealt out by their sets, so none meets in one task."""
     schema = "long boolean, key long, a binary, b binary, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,12 +253,15 @@ def _scan_lists(postings: DataFrame) -> DataFrame:
             shared[1:] |= keys[1:] == keys[:-1]
             shared[:-1] |= keys[:-1] == keys[1:]
             shared[[0, -1]] = True
-            at = np.flatnonzero(shared)
-            for k, cls, n in zip(keys[at].tolist(), batch.column(1).take(pa.array(at)).to_pylist(), batch.column(2).to_numpy()[at].tolist(), strict=True):
+            hot = batch.column(3).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(shared | hot)
+            for k, cls, n, h in zip(keys[at].tolist(), batch.column(1).take(pa.array(at)).to_pylist(), batch.column(2).to_numpy()[at].tolist(), hot[at].tolist(), strict=True):
                 if k != key:
                     if not is_long:
                         short_pairs()
-                    key, head, is_long, last = k, [(cls, n)], False, cls
+                    key, head, is_long, last = k, [(cls, n)], h, cls
+                    if h:
+                        out.append((True, key, cls, None, n))
                     continue
                 if cls == last:
                     continue
@@ -260,8 +279,9 @@ def _scan_lists(postings: DataFrame) -> DataFrame:
             short_pairs()
         yield emit()
 
-    # the list of a key stands together and its sets are ordered by size, then class
-    return postings.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(released(run), schema)
+    # the list of a key stands together, but for a hot one, and its sets are ordered by size, then class
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(0)
+    return postings.repartition("key", salt).sortWithinPartitions("key", "n", "cls").mapInArrow(released(run), schema)
 
 
 def _alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
@@ -302,6 +322,11 @@ class _List:
         order = np.argsort(self.col, kind="stable")
         self.owners, self.starts = self.row[order], np.concatenate([[0], np.cumsum(np.bincount(self.col, minlength=len(count)))])
 
+    def sized(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` (bool) whose size allows a link to set i."""
+        j = np.flatnonzero(others & (100 * np.minimum(self.n, self.n[i]) >= PERCENT * np.maximum(self.n, self.n[i])))
+        return j[j != i]
+
     def resembling(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` (bool) whose sketch allows a link to set i."""
         cols = self.col[self.bounds[i] : self.bounds[i + 1]]
@@ -318,10 +343,11 @@ class _List:
         return j
 
 
-def _scan_long(members: DataFrame, first: bool) -> DataFrame:
+def _scan_long(members: DataFrame, first: bool, exact: bool = False) -> DataFrame:
     """Pairs of sets of long lists (``key``, ``x``, ``y``: a list's pair of tiles; ``tile``, ``cls``,
     ``n``, ``root``, ``sketch``, ``keys``: the set's long lists). First round: each set with the most
-    central one that it resembles. Then: sets of different components, in the first list they share."""
+    central one that it resembles. Then: sets of different components, in the first list they share.
+    ``exact``: then by their sizes alone, without sketches."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = {c: table.column(c).to_pylist() for c in ("cls", "n", "root", "sketch", "tile")}
@@ -349,7 +375,7 @@ def _scan_long(members: DataFrame, first: bool) -> DataFrame:
                     others = (later | (number == most)) & (number != number[i])
                     if cross:
                         others &= x.tile != x.tile[i]
-                    for j in x.resembling(i, others).tolist():
+                    for j in (x.sized if exact else x.resembling)(i, others).tolist():
                         if min(keys[i] & keys[j]) == key:
                             a.append(x.cls[i])
                             b.append(x.cls[j])
@@ -365,13 +391,15 @@ def _members(entries: DataFrame, classes: DataFrame, roots: DataFrame | None) ->
     if roots is not None:
         found = entries.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    kept = found.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    # a hot key's entries must not meet: each list's row stands SALTS times
+    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = found.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     own = kept.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "sketch"), "cls")
     dealt = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "cls", "n", "root", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
     return dealt.join(own, "cls")
 
 
-def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) of classes that do link; the sets (``cls``, ``shingles``) of these and of others."""
     spark = docs.sparkSession
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -383,7 +411,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
                 keep = _alike(_matrix(part.column(2).to_pylist()), _matrix(part.column(3).to_pylist()), part.column(4).to_numpy(), part.column(5).to_numpy())
                 yield part.select([0, 1]).filter(pa.array(keep))
 
-    likely = store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(released(near), "a binary, b binary"), "likely")
+    likely = pairs if exact else store(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(released(near), "a binary, b binary"), "likely")
     wanted = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
     bits = 22
 
@@ -395,7 +423,7 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
         numbers, payloads = pieces(counts)
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["piece", "payload"])
 
-    mask = spark.sparkContext.broadcast(np.packbits(reached(wanted.mapInArrow(released(marks), "piece int, payload binary"), bits, 1)).tobytes())
+    mask = spark.sparkContext.broadcast(np.packbits(reached(wanted.mapInArrow(released(marks), "piece int, payload binary"), bits, 1)[0]).tobytes())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(mask.value, np.uint8)).view(bool)
@@ -424,7 +452,10 @@ def _verify(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: full.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
-    return store(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(compare), "a binary, b binary"), "links"), full
+    links = store(likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(released(compare), "a binary, b binary"), "links")
+    if not exact:
+        discard(likely)
+    return links, full
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -534,32 +565,38 @@ class Joined:
     sets: DataFrame
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None) -> Joined:
-    """Joins all texts of ``docs``. ``small`` overrides the boundary that the costs give."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None, exact: bool = False) -> Joined:
+    """Joins all texts of ``docs``. ``small`` overrides the boundary that the costs give. ``exact`` lists
+    whole prefixes and verifies every pair that meets, unless already in one component: no link is
+    missed with any chance (but for equal 64-bit hashes), at a much higher cost."""
     spark = docs.sparkSession
     summary = store(_summaries(docs, id_col, text_col), "summary")
     rows = summary.where("kind = 0").select("id", "n", "cls", "sketch")
     classes = store(rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("m")), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(FREQUENT, 4 * math.ceil(total / (1 << COUNTER_BITS)))
-    frequent = reached(summary.where("kind = 1").select("piece", "payload"), COUNTER_BITS, least)
-    table = spark.sparkContext.broadcast(np.packbits(frequent).tobytes())
+    # a list below this, counters' noise included, fits into one task
+    heat = max(TILE, 2 * least)
+    tables = spark.sparkContext.broadcast([np.packbits(x).tobytes() for x in reached(summary.where("kind = 1").select("piece", "payload"), COUNTER_BITS, least, heat)])
     if small is None:
         held = summary.where("kind = 2").groupBy("token").count().agg(F.sum("count").alias("all"), F.sum(F.when(F.col("count") > 1, F.col("count"))).alias("live")).first()
         small = boundary((held["live"] or 0) / held["all"] if held["all"] else 0.0)
 
-    found = store(_scan_lists(_postings(docs, text_col, table, small)), "lists")
+    found = store(_scan_lists(_postings(docs, text_col, tables, small, exact)), "lists")
     entries = found.where("long").select("key", F.col("a").alias("cls"), "n")
     central = _scan_long(_members(entries, classes, None), True)
     pairs = store(found.where("not long").select("a", "b").union(central).distinct(), "pairs")
-    links, sets = _verify(docs, text_col, classes, pairs)
+    links, sets = _verify(docs, text_col, classes, pairs, exact)
+    discard(pairs)
     roots = components(links)
-    more = store(_scan_long(_members(entries, classes, roots), False), "pairs")
+    more = store(_scan_long(_members(entries, classes, roots), False, exact), "pairs")
+    discard(found)
     if not more.isEmpty():
-        further, others = _verify(docs, text_col, classes, more)
+        further, others = _verify(docs, text_col, classes, more, exact)
         links = store(links.union(further), "links")
         sets = sets.union(others.join(sets.select("cls"), "cls", "left_anti"))
         roots = components(links)
+    discard(more)
     rows = rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("id", F.col("n").alias("n_shingles"), "cls", F.coalesce("root", "cls").alias("root"))
     return Joined(rows, links, small, classes.select("cls", "n", "m"), roots, sets)
 
@@ -571,13 +608,13 @@ def _grouped(rows: DataFrame, id_col: str, *more: str) -> DataFrame:
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int | None = None, exact: bool = False) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``n_links``: the other rows that it links to, equal texts included,
     ``component_id``: the smallest id reachable by links, itself included.
 
-    Texts without words keep their own id and have no links.
+    Texts without words keep their own id and have no links. ``exact`` as in :func:`join`.
     """
-    found = join(docs, id_col, text_col, small)
+    found = join(docs, id_col, text_col, small, exact)
     counts = found.classes.where("n > 0").join(_count_links(found.roots, found.sets, found.classes), "cls", "left")
     counts = counts.select("cls", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     rows = found.rows.join(counts, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))

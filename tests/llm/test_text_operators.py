@@ -133,9 +133,11 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert out[0]["text"] == prose and out[3]["text"] == prose + "\n" and out[3]["n_chars"] == len(prose) + 1
 
 
-@pytest.mark.parametrize("small", [None, 0, 60])
-def test_ngram_join_finds_every_group(docs, empty, small, monkeypatch):
+@pytest.mark.parametrize(("small", "exact", "hot"), [(None, False, False), (0, False, False), (60, False, True), (None, True, False), (0, True, True)])
+def test_ngram_join_finds_every_group(docs, empty, small, exact, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 7)
+    if hot:  # nearly every list is dealt out as a hot one
+        monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     rows = docs.collect()
     sets = {i: shingles(r["text"]) for i, r in enumerate(rows)}
     group = list(range(len(rows)))
@@ -147,9 +149,9 @@ def test_ngram_join_finds_every_group(docs, empty, small, monkeypatch):
                 group = [b if g == a else g for g in group]
     least = {g: min((rows[i]["doc_id"] for i in sets if group[i] == g and rows[i]["doc_id"] is not None), default=None) for g in set(group)}
     want = sorted((str(r["doc_id"]), len(sets[i]), str(least[group[i]] if sets[i] else r["doc_id"])) for i, r in enumerate(rows))
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.groups(docs, small=small).collect())
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.groups(docs, small=small, exact=exact).collect())
     assert got == want
-    if small is None:
+    if small is None and not exact:
         assert ngram_join.groups(empty).count() == 0
         kept = ngram_join.one_of_each(docs)
         assert kept.columns == docs.columns
