@@ -171,8 +171,9 @@ def _scanned(coded: DataFrame, parts: int, threshold: float) -> DataFrame:
             unit = (len(q[s].as_buffer()) - 8) if e > s else 0
             left, right, sure = [], [], []
             x, error = _steps(q.slice(s, e - s), unit)
-            for b in range(0, e - s, WINDOW):
-                lo, hi = max(0, b - WINDOW), min(e - s, b + WINDOW)
+            block = max(1, WINDOW // 4)
+            for b in range(0, e - s, block):
+                lo, hi = max(0, b - WINDOW), min(e - s, b + block)
                 i, j, certain = _near(x[b:hi], error[b:hi], x[lo:hi], error[lo:hi], threshold)
                 i, j = i + b, j + lo
                 kept = j < i
@@ -211,15 +212,14 @@ def _over_edges(found: DataFrame, threshold: float) -> DataFrame:
                 break
     if not met:
         return spark.createDataFrame([], "a long, b long, sure boolean")
-    pairs = F.broadcast(spark.createDataFrame(met, "x long, y long, between long"))  # neighbouring partitions
-    edge = found.where("kind = 2").drop("kind", "b")
-    dealt = edge.join(pairs, ((F.col("side") == 1) & (F.col("part") == F.col("x"))) | ((F.col("side") == 0) & (F.col("part") == F.col("y"))))
+    sides = [(p, 1, p, q, n) for p, q, n in met] + [(q, 0, p, q, n) for p, q, n in met]
+    pairs = F.broadcast(spark.createDataFrame(sides, "part long, side int, x long, y long, between long"))  # neighbouring partitions
+    dealt = found.where("kind = 2").drop("kind", "b").join(pairs, ["part", "side"]).where(F.col("at") + F.col("between") < WINDOW)
 
     def run(t: pa.Table) -> pa.Table:
         side, at, num = (t.column(c).to_numpy() for c in ("side", "at", "a"))
         p, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         between = t.column("between")[0].as_py()
-        p, y = p[at[p] + between < WINDOW], y[at[y] + between < WINDOW]
         key = [t.column(c).to_pylist() for c in ("pass", "label", "width")]
         own = lambda at: {tuple(c[k] for c in key) for k in at.tolist()}
         if not len(p) or not len(y) or own(p) != own(y):
