@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tessera.llm.memory import released
 from tessera.llm.ordering import unused
 from tessera.llm.storage import store
-from tessera.llm.tokens import BYTE_BPE, encode
+from tessera.llm.tokens import BYTE_BPE, MEMORY_CHUNKS, encode
 
 CAPACITY = 1024
 END_ID = 2
@@ -188,7 +188,7 @@ def places(patterns: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
     return {length: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for length, r in runs.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memory: int = MEMORY_CHUNKS) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``, little-endian unsigned
     32-bit) of every document's tokens with the end id, cut only where longer than ``capacity``."""
     fields = [docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -197,7 +197,7 @@ def pieces(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, flat, bounds in encode(batch.column(1), tokenizer):
+            for i, flat, bounds in encode(batch.column(1), tokenizer, memory):
                 at, piece, start, length, crc, raw = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     ids = np.concatenate([flat[a:b], end])
@@ -247,9 +247,9 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, length_co
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenizes, cuts and packs ``docs``; one row per piece."""
-    cut = store(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, memory: int = MEMORY_CHUNKS) -> DataFrame:
+    """Tokenizes, cuts and packs ``docs``; one row per piece. ``memory`` as in :func:`tokens.encode`."""
+    cut = store(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, memory), "pieces")
     return pack(cut, [id_col, "piece", "start", "ids_crc32"], capacity)
 
 

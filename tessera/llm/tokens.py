@@ -32,9 +32,9 @@ from tessera.llm.words import text_buffers
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Texts are encoded in groups of about so many bytes; a longer text makes a group of its own, and
 #: is encoded in parts of this size where it can be cut.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: Chunks whose ids a worker remembers; beyond it starts anew.
-MEMORY_CHUNKS = 500_000
+MEMORY_CHUNKS = 1_000_000
 #: Chunks that are joined for one call.
 JOINED = 20_000
 #: Chunks with more characters are not remembered.
