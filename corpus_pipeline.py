@@ -3,7 +3,7 @@ sources to their weights, pack into sequences.
 
 Every stage takes all that the one before kept, as rows of ``documents``; the last returns the pieces
 with their places. The whole is not expressible in SQL (token ids, similarity components), so tests
-compare each stage with a brute-force version.
+compare each stage with a plain version of it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequences and offsets."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, memory=400_000)  # workers still hold what earlier stages took
 
 
 STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", near_copies), ("source_mixing", source_mix), ("best_fit_packing", sequences)]
