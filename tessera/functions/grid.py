@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,18 @@ def padded(lo: Column, size: Column, limit: Column, pad: int = 10) -> tuple[Colu
 
 
 def spiral(nx: int = 50, ny: int = 50) -> list[tuple[int, int, int]]:
-    """Offsets (step, dx, dy) of a square spiral around 0 that stay within nx by ny."""
-    out, x, y, dx, dy = [], 0, 0, 0, -1
-    for _ in range(max(nx, ny) ** 2):
-        if -nx / 2 < x <= nx / 2 and -ny / 2 < y <= ny / 2:
-            out.append((len(out), x, y))
-        corner = x == y or (x < 0 and x == -y) or (x > 0 and x == 1 - y)
-        dx, dy = (-dy, dx) if corner else (dx, dy)
-        x, y = x + dx, y + dy
-    return out
+    """Offsets (step, dx, dy) of a square spiral around 0 that stay within nx by ny.
+
+    Its sides are 1, 1, 2, 2, 3, 3, … steps long and turn from +x to +y, -x, -y and on; it is walked
+    until it has covered the larger side's square.
+    """
+    side = max(nx, ny)
+    turns = np.arange(2 * side)
+    heading = np.array([(1, 0), (0, 1), (-1, 0), (0, -1)])[turns % 4]
+    walked = np.concatenate([[(0, 0)], np.cumsum(np.repeat(heading, turns // 2 + 1, axis=0), axis=0)])[: side * side]
+    x, y = walked.T
+    inside = walked[(2 * x > -nx) & (2 * x <= nx) & (2 * y > -ny) & (2 * y <= ny)]
+    return [(k, dx, dy) for k, (dx, dy) in enumerate(inside.tolist())]
 
 
 def dense(spark: SparkSession, keys: DataFrame | None, height: int, width: int) -> DataFrame:

@@ -23,9 +23,9 @@ def pan_key(key: Column) -> Column:
 
 
 def pan_paths(folder: str, name: Column) -> Column:
-    """Where a panchromatic scene may lie, best first: the sensor's layout, then a plain file, each as
-    written, upper and lower case."""
-    forms = [name, F.upper(name), F.lower(name)]
-    raw = [F.concat(F.lit(f"{folder}/"), n, F.lit("/"), n, F.lit("_B1.DAT.raw")) for n in forms]
-    tif = [F.concat(F.lit(f"{folder}/"), n, F.lit(".tif")) for n in forms]
-    return F.array(*raw, *tif)
+    """Where a panchromatic scene may lie, best first: as written, upper and lower case, each in the
+    sensor's layout and then as a plain file."""
+    paths = []
+    for n in (name, F.upper(name), F.lower(name)):
+        paths += [F.concat(F.lit(f"{folder}/"), n, F.lit("/"), n, F.lit("_B1.DAT.raw")), F.concat(F.lit(f"{folder}/"), n, F.lit(".tif"))]
+    return F.array(*paths)

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.names import pan_paths
 
-def overlaps(scenes: DataFrame, cell: int = 128) -> DataFrame:
+
+def overlaps(scenes: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs ``a`` < ``b`` of scenes whose boxes meet (touching counts), with the common box.
 
+    ``cell``: side of the grid's cells in map units; by default that of the mean scene, so that a box
+    lies in about four cells at any scale.
+
     Boxes are dealt into a grid of cells, so the range join is an equi-join on the cell; a pair is
     taken only in the cell of its common box's upper left corner, so no distinct is needed.
     """
+    if cell is None:
+        cell = scenes.agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y0") - F.col("y1")))).first()[0] or 1.0
     key = lambda v: F.floor(v / F.lit(float(cell)))
     cells = scenes.select("scene_id", "x0", "y0", "x1", "y1", F.explode(F.sequence(key(F.col("x0")), key(F.col("x1")))).alias("tx")).select("*", F.explode(F.sequence(key(F.col("y1")), key(F.col("y0")))).alias("ty"))
     a = cells.select(F.col("scene_id").alias("a"), *[F.col(k).alias(f"a_{k}") for k in ("x0", "y0", "x1", "y1")], "tx", "ty")
@@ -53,9 +60,9 @@ def placed(parts: list[tuple[DataFrame, int, int]], height: int, width: int, key
     return out.groupBy(*keys, "r", "c").agg(F.sum("dn").alias("dn"))
 
 
-def occupancy(parts: list[tuple[DataFrame, int, int]], height: int, width: int) -> DataFrame:
+def occupancy(parts: list[tuple[DataFrame, int, int]], height: int, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """1 where any part has data."""
-    return placed(parts, height, width).select("r", "c", F.when(F.col("dn") > 0, 1).otherwise(0).alias("dn"))
+    return placed(parts, height, width, keys).select(*keys, "r", "c", F.when(F.col("dn") > 0, 1).otherwise(0).alias("dn"))
 
 
 def footprint(px: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -63,34 +70,41 @@ def footprint(px: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return px.where("dn <> 0").select(*keys, "r", "c").distinct()
 
 
-def boundary(cells: DataFrame) -> DataFrame:
+def area(cells: DataFrame, res: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``cells`` and ``area`` (in square map units) of a footprint; repeated cells count once."""
+    return cells.select(*keys, "r", "c").distinct().groupBy(*keys).agg(F.count("*").alias("cells"), (F.count("*") * F.lit(float(res) * float(res))).alias("area"))
+
+
+def boundary(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cells of a footprint with a neighbour (4) outside it."""
-    near = cells.select("r", "c", F.explode(F.expr("array(struct(1 AS dr, 0 AS dc), struct(-1 AS dr, 0 AS dc), struct(0 AS dr, 1 AS dc), struct(0 AS dr, -1 AS dc))")).alias("d"))
-    missing = near.select("r", "c", (F.col("r") + F.col("d.dr")).alias("nr"), (F.col("c") + F.col("d.dc")).alias("nc")).join(cells.select(F.col("r").alias("nr"), F.col("c").alias("nc")), ["nr", "nc"], "left_anti")
-    return missing.select("r", "c").distinct()
+    near = cells.select(*keys, "r", "c", F.explode(F.expr("array(struct(1 AS dr, 0 AS dc), struct(-1 AS dr, 0 AS dc), struct(0 AS dr, 1 AS dc), struct(0 AS dr, -1 AS dc))")).alias("d"))
+    missing = near.select(*keys, "r", "c", (F.col("r") + F.col("d.dr")).alias("nr"), (F.col("c") + F.col("d.dc")).alias("nc")).join(cells.select(*keys, F.col("r").alias("nr"), F.col("c").alias("nc")), [*keys, "nr", "nc"], "left_anti")
+    return missing.select(*keys, "r", "c").distinct()
 
 
-def crossings(a: DataFrame, b: DataFrame) -> DataFrame:
+def crossings(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Boundary cells of a within one cell of b's boundary."""
-    near = boundary(b).select(F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(r + i AS r, c + j AS c))))")).alias("x")).select("x.r", "x.c").distinct()
-    return boundary(a).join(near, ["r", "c"])
+    near = boundary(b, keys).select(*keys, F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(r + i AS r, c + j AS c))))")).alias("x")).select(*keys, "x.r", "x.c").distinct()
+    return boundary(a, keys).join(near, [*keys, "r", "c"])
 
 
-def nearest_points(points: DataFrame, target: DataFrame, keep: int = 2) -> DataFrame:
-    """The ``keep`` points nearest to a target's centre of gravity (one row ``tr``, ``tc``)."""
+def nearest_points(points: DataFrame, target: DataFrame, keep: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The ``keep`` points nearest to a target's centre of gravity (one row ``tr``, ``tc`` per key)."""
     d = (F.col("r") - F.col("tr")) * (F.col("r") - F.col("tr")) + (F.col("c") - F.col("tc")) * (F.col("c") - F.col("tc"))
-    return points.join(F.broadcast(target)).withColumn("d2", d).orderBy("d2", "r", "c").limit(keep).select("r", "c", "d2")
+    met = points.join(target, list(keys)) if keys else points.join(F.broadcast(target))  # one row
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("d2", "r", "c"))
+    return met.withColumn("d2", d).withColumn("place", place).where(F.col("place") <= keep).select(*keys, "r", "c", "d2")
 
 
-def union_cells(*parts: DataFrame) -> DataFrame:
-    out = parts[0].select("r", "c")
+def union_cells(*parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    out = parts[0].select(*keys, "r", "c")
     for p in parts[1:]:
-        out = out.union(p.select("r", "c"))
+        out = out.union(p.select(*keys, "r", "c"))
     return out.distinct()
 
 
-def difference_cells(new: DataFrame, old: DataFrame) -> DataFrame:
-    return new.select("r", "c").join(old.select("r", "c"), ["r", "c"], "left_anti").distinct()
+def difference_cells(new: DataFrame, old: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return new.select(*keys, "r", "c").join(old.select(*keys, "r", "c"), [*keys, "r", "c"], "left_anti").distinct()
 
 
 def by_name(left: DataFrame, right: DataFrame, key: str = "name") -> DataFrame:
@@ -104,3 +118,23 @@ def by_name(left: DataFrame, right: DataFrame, key: str = "name") -> DataFrame:
 def without_scenes(candidates: DataFrame, used: DataFrame) -> DataFrame:
     """Candidates whose scene is not already used here (exact names)."""
     return candidates.join(used.select("name"), "name", "left_anti")
+
+
+def pan_scenes(scenes: DataFrame, files: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """``scenes`` with ``path``: the first of a scene's possible paths that ``files`` (``path``) has, else
+    the sensor's layout as written; and ``found``, false for such a scene, which cannot be read."""
+    paths = pan_paths(folder, F.col(name))
+    keyed = scenes.withColumn("__paths", paths)
+    tried = keyed.select(name, F.posexplode("__paths").alias("__at", "path")).join(files.select("path").distinct(), "path")
+    first = tried.groupBy(name).agg(F.min_by("path", "__at").alias("__first"))
+    out = keyed.join(first, name, "left").select(*scenes.columns, F.coalesce("__first", F.element_at("__paths", 1)).alias("path"), F.col("__first").isNotNull().alias("found"))
+    return out
+
+
+def with_masks(scenes: DataFrame, masks: DataFrame, stem: str = "name") -> DataFrame:
+    """``scenes`` with the first mask file (``file``, in order) whose name holds the scene's; a scene
+    without one keeps its row, with ``reason``. Mask files are a catalogue, joined by the stem they hold."""
+    held = masks.select("file", F.regexp_extract("file", r"([^/]*?)(?:_[a-z]+)?[.]tif$", 1).alias("__stem"))
+    least = held.groupBy("__stem").agg(F.min("file").alias("mask"))
+    out = scenes.join(least, F.col(stem) == F.col("__stem"), "left").drop("__stem")
+    return out.withColumn("reason", F.when(F.col("mask").isNull(), F.concat(F.lit("no cloud mask for "), F.col(stem))))

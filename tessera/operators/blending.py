@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 
 from tessera.functions.pixel import blend
 from tessera.operators import kernels
+from tessera.operators.state import checkpointed
 
 FULL = 58
 
 
-def coverage(parts: DataFrame, weight: DataFrame) -> DataFrame:
-    """``scene_id``, ``region`` 0 or 1 (weights exactly 0 or full), covered and all cells."""
+def coverage(parts: DataFrame, weight: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, ``scene_id``, ``region`` 0 or 1 (weights exactly 0 or full), covered and all cells, for
+    the scenes of ``parts`` (``keys``, ``scene_id``, ``r``, ``c``, ``dn``); ``weight`` holds for all keys."""
     region = F.when(F.col("k") == 0, 0).when(F.col("k") == FULL, 1)
     cells = weight.withColumn("region", region).where("region IS NOT NULL")
-    scenes = parts.select("scene_id").distinct()
-    full = cells.join(scenes).join(parts.where("dn > 0").select("scene_id", "r", "c", F.lit(1).alias("hit")), ["scene_id", "r", "c"], "left")  # two scenes
-    return full.groupBy("scene_id", "region").agg(F.count("hit").alias("covered"), F.count("*").alias("cells"))
+    sizes = cells.groupBy("region").agg(F.count("*").alias("cells"))  # two rows
+    hits = parts.where("dn > 0").select(*keys, "scene_id", "r", "c").distinct().join(cells.select("r", "c", "region"), ["r", "c"]).groupBy(*keys, "scene_id", "region").agg(F.count("*").alias("covered"))
+    every = parts.select(*keys, "scene_id").distinct().withColumn("region", F.explode(F.array(F.lit(0), F.lit(1)))).join(F.broadcast(sizes), "region")
+    return every.join(hits, [*keys, "scene_id", "region"], "left").select(*keys, "scene_id", "region", F.coalesce("covered", F.lit(0)).alias("covered"), "cells")
 
 
-def weighted_scene(cover: DataFrame) -> DataFrame:
+def weighted_scene(cover: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The scene that gets the weight itself: it covers region 1 more; a tie keeps the first."""
     share = F.floor(F.col("covered") * F.lit(1e9) / F.col("cells"))
-    return cover.where("region = 1").withColumn("place", F.row_number().over(Window.orderBy(F.desc(share), "scene_id"))).where("place = 1").select("scene_id", "covered", "cells")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(share), "scene_id"))
+    return cover.where("region = 1").withColumn("place", place).where("place = 1").select(*keys, "scene_id", "covered", "cells")
 
 
 def feather_blend(a: DataFrame, b: DataFrame, weight: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -36,12 +40,28 @@ def feather_blend(a: DataFrame, b: DataFrame, weight: DataFrame, keys: tuple[str
     return both.join(weight.select("r", "c", "k"), ["r", "c"], "left").select(*keys, "r", "c", value.alias("dn"))
 
 
-def mask_blend(a: DataFrame, b: DataFrame, weight: DataFrame) -> DataFrame:
+def over(old: DataFrame, new: DataFrame, weight: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``new`` blended over ``old`` by the weights; where only one of them has data (``dn`` above 0), that one."""
+    both = old.select(*keys, "r", "c", F.col("dn").alias("a")).join(new.select(*keys, "r", "c", F.col("dn").alias("b")), [*keys, "r", "c"], "full").join(weight.select("r", "c", "k"), ["r", "c"], "left")
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    value = F.when(b == 0, a).when(a == 0, b).otherwise(blend(a, b, F.coalesce("k", F.lit(0)), FULL))
+    return both.select(*keys, "r", "c", value.cast("long").alias("dn"))
+
+
+def folded(layers: list[tuple[DataFrame, DataFrame]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Scenes (pixels, weights) blended one after the other; a step's result is stored before the next."""
+    out = layers[0][0].select(*keys, "r", "c", "dn")
+    for px, weight in layers[1:]:
+        out = checkpointed(over(out, px, weight, keys))
+    return out
+
+
+def mask_blend(a: DataFrame, b: DataFrame, weight: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """1 where either mask contributes with positive weight."""
-    both = a.select("r", "c", F.col("v").alias("a")).join(b.select("r", "c", F.col("v").alias("b")), ["r", "c"], "full").join(weight.select("r", "c", "k"), ["r", "c"], "left")
+    both = a.select(*keys, "r", "c", F.col("v").alias("a")).join(b.select(*keys, "r", "c", F.col("v").alias("b")), [*keys, "r", "c"], "full").join(weight.select("r", "c", "k"), ["r", "c"], "left")
     k = F.coalesce("k", F.lit(0))
     total = F.coalesce("a", F.lit(0)) * (FULL - k) + F.coalesce("b", F.lit(0)) * k
-    return both.select("r", "c", F.when(total > 0, 1).otherwise(0).alias("v"))
+    return both.select(*keys, "r", "c", F.when(total > 0, 1).otherwise(0).alias("v"))
 
 
 def pan_blend(a: DataFrame, b: DataFrame, weight: DataFrame, factor: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -58,11 +78,11 @@ def rewritten(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ()) -> Dat
     return both.select(*keys, "r", "c", F.coalesce("new", "dn").alias("dn"))
 
 
-def over_no_data(mosaic: DataFrame, candidate: DataFrame) -> DataFrame:
+def over_no_data(mosaic: DataFrame, candidate: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cells whose bands are all 0 in the mosaic take the candidate (``band``, ``r``, ``c``, ``dn``)."""
-    empty = F.max("dn").over(Window.partitionBy("r", "c")) == 0
-    met = mosaic.withColumn("empty", empty).join(candidate.select("band", "r", "c", F.col("dn").alias("other")), ["band", "r", "c"], "left")
-    return met.select("band", "r", "c", F.when(F.col("empty"), F.coalesce("other", F.lit(0))).otherwise(F.col("dn")).alias("dn"))
+    empty = F.max("dn").over(Window.partitionBy(*keys, "r", "c")) == 0
+    met = mosaic.withColumn("empty", empty).join(candidate.select(*keys, "band", "r", "c", F.col("dn").alias("other")), [*keys, "band", "r", "c"], "left")
+    return met.select(*keys, "band", "r", "c", F.when(F.col("empty"), F.coalesce("other", F.lit(0))).otherwise(F.col("dn")).alias("dn"))
 
 
 def poisson_fill(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
@@ -86,7 +106,7 @@ def poisson_fill(rows: DataFrame, keys: list[str], top: int) -> DataFrame:
         mosaic, candidate, member, flag = (grids[n] for n in ("mosaic", "candidate", "member", "flag"))
         base = np.where(mosaic == 0, candidate, mosaic)
         fill = kernels.poisson(candidate, base, member)
-        if flag.any() and min(shape) > 12:
+        if flag.any():
             w = np.where(flag > 0, 0, kernels.feather(1 - flag, 25))
             fill = fill * w + candidate * (1 - w)
         w = kernels.adaptive_feather(member)

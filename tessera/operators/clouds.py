@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import pixel
@@ -22,9 +22,10 @@ def patches(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
     return graph.without_scraps(graph.components(cells, keys), keys, least).withColumnRenamed("label", "patch_id")
 
 
-def clear_fraction(patch: DataFrame, mask: DataFrame, keys: list[str], clear_below: int = 10) -> DataFrame:
-    """Clear cells of each candidate's mask inside each patch; a patch without cells has none."""
-    met = patch.join(mask.select("scene_id", "r", "c", "code"), ["r", "c"])
+def clear_fraction(patch: DataFrame, mask: DataFrame, keys: list[str], clear_below: int = 10, shared: tuple[str, ...] = ()) -> DataFrame:
+    """Clear cells of each candidate's mask inside each patch; a patch without cells has none. ``shared``:
+    keys that patch and mask have in common besides the cell."""
+    met = patch.join(mask.select(*shared, "scene_id", "r", "c", "code"), [*shared, "r", "c"])
     return met.groupBy(*keys, "scene_id").agg(F.sum(F.when(F.col("code") < clear_below, 1).otherwise(0)).alias("clear"), F.count("*").alias("cells")).withColumn("fraction", F.coalesce(F.col("clear") / F.col("cells"), F.lit(0.0)))
 
 
@@ -33,21 +34,24 @@ def on_border(patch: DataFrame, keys: list[str], height: int, width: int) -> Dat
     return patch.groupBy(*keys).agg(F.bool_or(edge).alias("on_border"), F.count("*").alias("cells"))
 
 
-def updated(mask: DataFrame, patch: DataFrame, flagged: DataFrame, land: DataFrame, index: int) -> DataFrame:
+def updated(mask: DataFrame, patch: DataFrame, flagged: DataFrame, land: DataFrame, index: Column | int, keys: tuple[str, ...] = ()) -> DataFrame:
     """After a fill: filled land cells become 0, land cells the candidate's clouds cover (i + 1) * 10."""
-    out = mask.join(patch.select("r", "c", F.lit(1).alias("p")), ["r", "c"], "left").join(flagged.select("r", "c", F.lit(1).alias("f")), ["r", "c"], "left").join(land, ["r", "c"], "left")
+    at = [*keys, "r", "c"]
+    out = mask.join(patch.select(*at, F.lit(1).alias("p")), at, "left").join(flagged.select(*at, F.lit(1).alias("f")), at, "left").join(land, ["r", "c"], "left")
     on_land = F.coalesce("land", F.lit(0)) == 1
     code = F.when(F.col("p").isNotNull() & F.col("f").isNull() & on_land, 0).when(F.col("p").isNotNull() & F.col("f").isNotNull() & on_land, (index + 1) * 10).otherwise(F.col("code"))
-    return out.select("r", "c", code.alias("code"))
+    return out.select(*at, code.alias("code"))
 
 
-def isolated(patch: DataFrame, mask: DataFrame, height: int, width: int, grow: int = 10) -> DataFrame:
-    """``r``, ``c``, ``flag`` of every patch cell: 1 where the candidate is cloudy (codes above 2,
+def isolated(patch: DataFrame, mask: DataFrame, height: int, width: int, grow: int = 10, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``keys``, ``r``, ``c``, ``flag`` of every patch cell: 1 where the candidate is cloudy (codes above 2,
     widened by ``grow`` cells) or where such clouds cut the cell off from the grid's upper left part."""
-    code = patch.select("r", "c").join(mask.select("r", "c", "code"), ["r", "c"]).select("r", "c", F.when(F.col("code") <= 2, 1).otherwise(F.least("code", F.lit(10))).alias("v"))
-    grid = dense(mask.sparkSession, None, height, width).withColumn("one", F.lit(1)).join(code, ["r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(1)))
-    open_ = graph.flooded(checkpointed(dilated(grid, grow)), ["one"], (1, 1), 0)
-    return patch.join(open_.select("r", "c", pixel.binary(F.col("v")).alias("flag")), ["r", "c"])
+    at, own = [*keys, "r", "c"], keys or ["one"]
+    code = patch.select(*at).join(mask.select(*at, "code"), at).select(*at, F.when(F.col("code") <= 2, 1).otherwise(F.least("code", F.lit(10))).alias("v"))
+    grid = dense(mask.sparkSession, patch.select(*keys).distinct() if keys else None, height, width)
+    grid = (grid if keys else grid.withColumn("one", F.lit(1))).join(code, at, "left").withColumn("v", F.coalesce("v", F.lit(1)))
+    open_ = graph.flooded(checkpointed(dilated(grid, grow, own)), own, (1, 1), 0)
+    return patch.join(open_.select(*at, pixel.binary(F.col("v")).alias("flag")), at)
 
 
 def counters(scores: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,16 @@ def dilated(px: DataFrame, size: int, keys: list[str] = [], value: str = "v") ->
     return _two_passes(px, keys, F.max, size // 2, size - 1 - size // 2, value)
 
 
-def dilated_cross(px: DataFrame, steps: int, height: int, width: int, value: str = "v") -> DataFrame:
-    """``steps`` dilations by a cross: every set cell reaches the cells within that many steps."""
-    reach = [(dr, dc) for dr in range(-steps, steps + 1) for dc in range(-(steps - abs(dr)), steps - abs(dr) + 1)]
-    near = px.where(F.col(value) > 0).select(F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in reach])).alias("d"), "r", "c").select((F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"))
-    hit = near.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).distinct().withColumn("hit", F.lit(1))
-    return px.join(hit, ["r", "c"], "left").withColumn(value, F.coalesce("hit", F.lit(0))).drop("hit")
+def dilated_cross(px: DataFrame, steps: int, keys: list[str] = [], value: str = "v") -> DataFrame:  # noqa: B006
+    """``steps`` dilations by a cross: every set cell reaches the cells within that many steps.
+
+    In the coordinates r + c and r - c that is a square, so one direction spreads each set cell over
+    ``2 steps + 1`` places and the other is a window."""
+    u, w = (F.col("r") + F.col("c")).alias("__u"), (F.col("r") - F.col("c")).alias("__w")
+    spread = px.where(F.col(value) > 0).select(*keys, u, w, F.explode(F.sequence(F.lit(-steps), F.lit(steps))).alias("__d")).select(*keys, (F.col("__u") + F.col("__d")).alias("__u"), "__w").distinct()
+    both = px.select(*px.columns, u, w, F.lit(0).alias("__hit")).unionByName(spread.withColumn("__hit", F.lit(1)), allowMissingColumns=True)
+    across = Window.partitionBy(*keys, "__u").orderBy("__w").rangeBetween(-steps, steps)
+    return both.withColumn("__near", F.max("__hit").over(across)).where("__hit = 0").withColumn(value, F.col("__near")).select(*px.columns)
 
 
 def reopened(eroded_: DataFrame, original: DataFrame, points: list[tuple[int, int]], size: int, margin: int = 30, value: str = "v", keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -56,25 +62,40 @@ def gaussian_taps(size: int = 57, scale: int = 1 << 16) -> list[int]:
     return [math.floor(x / sum(raw) * scale + 0.5) for x in raw]
 
 
-def _blurred(px: DataFrame, axis: str, limit: int, taps: list[int], keys: list[str], value: str) -> DataFrame:
-    """One direction; the border is reflected without repeating the edge. A line is one group."""
-    other = "c" if axis == "r" else "r"
-    half = len(taps) // 2
-    line = px.groupBy(*keys, other).agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, value))), lambda x: x[value]).alias("line"))
-    at = [F.abs(F.lit(limit - 1) - F.abs(F.lit(limit - 1) - F.abs(F.col("i") + k - half))) for k in range(len(taps))]
-    total = None
-    for t, p in zip(taps, at, strict=True):
-        term = F.element_at("line", (p + 1).cast("int")) * t
-        total = term if total is None else total + term
-    return line.select(*keys, other, "line", F.explode(F.sequence(F.lit(0), F.lit(limit - 1))).alias("i")).select(*keys, other, F.col("i").alias(axis), total.alias(value))
-
-
-def feathered(mask: DataFrame, height: int, width: int, size: int = 57, keys: list[str] = [], value: str = "v") -> DataFrame:  # noqa: B006
-    """Weights of a binary mask as ``k`` of ``size + 1``: blurred both ways and rounded to integers."""
-    taps = gaussian_taps(size)
-    one = mask.withColumn(value, F.when(F.col(value) > 0, size + 1).otherwise(0).cast("long"))
-    both = _blurred(_blurred(one, "c", width, taps, keys, value), "r", height, taps, keys, value)
-    return both.withColumn("k", F.floor((F.col(value) + (1 << 31)) / F.lit(float(1 << 32))).cast("int")).drop(value)
+def _mirrored(v: Column, n: int, half: int) -> Column:
+    """The places within ``half`` of a line of n that show place v when its ends mirror (not repeated)."""
+    if n == 1:
+        return F.sequence(F.lit(-half), F.lit(half))
+    turn = 2 * (n - 1)
+    every = F.flatten(F.array(*[F.array(v + k * turn, -v + k * turn) for k in range(-(half // turn) - 1, half // turn + 2)]))
+    return F.array_distinct(F.filter(every, lambda x: (x >= -half) & (x < n + half)))
+
+
+def feathered(mask: DataFrame, height: int, width: int, size: int = 57, keys: list[str] = [], value: str = "v", tile: int = 512) -> DataFrame:  # noqa: B006
+    """Weights of a binary mask as ``k`` of ``size + 1``: blurred both ways and rounded to integers. The
+    border is mirrored. Set cells are dealt to square tiles with a halo; a tile is one group."""
+    taps, half = gaussian_taps(size), size // 2
+    at = mask.where(F.col(value) > 0).select(*keys, F.explode(_mirrored(F.col("r"), height, half)).alias("r"), "c").select(*keys, "r", F.explode(_mirrored(F.col("c"), width, half)).alias("c"))
+    places = lambda v, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((v - half) / tile).cast("int")), F.least(F.lit((n - 1) // tile), F.floor((v + half) / tile).cast("int"))))
+    dealt = at.select(*keys, "r", "c", places(F.col("r"), height).alias("ty")).select(*keys, "r", "c", "ty", places(F.col("c"), width).alias("tx"))
+    types = dict(dealt.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        ty, tx = t.column("ty")[0].as_py(), t.column("tx")[0].as_py()
+        h, w = min(tile, height - ty * tile), min(tile, width - tx * tile)
+        grid = np.zeros((h + 2 * half, w + 2 * half), np.int64)
+        r, c = t.column("r").to_numpy() - ty * tile + half, t.column("c").to_numpy() - tx * tile + half
+        inside = (r < grid.shape[0]) & (c < grid.shape[1])
+        grid[r[inside], c[inside]] = size + 1
+        down = sum(x * grid[k : k + h] for k, x in enumerate(taps))
+        total = sum(x * down[:, k : k + w] for k, x in enumerate(taps))
+        k = (total + (1 << 31)) >> 32
+        y, x = np.nonzero(k)
+        head = {name: pa.array([t.column(name)[0].as_py()] * len(y), t.schema.field(name).type) for name in keys}
+        return pa.table(head | {"r": pa.array((y + ty * tile).astype(np.int32)), "c": pa.array((x + tx * tile).astype(np.int32)), "k": pa.array(k[y, x].astype(np.int32))})
+
+    found = dealt.groupBy(*keys, "ty", "tx").applyInArrow(run, ", ".join([f"{k} {types[k]}" for k in keys] + ["r int", "c int", "k int"]))
+    return mask.join(found, [*keys, "r", "c"], "left").withColumn("k", F.coalesce("k", F.lit(0))).drop(value)
 
 
 def nearest(px: DataFrame, n: tuple[int, int], m: tuple[int, int], keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -112,13 +133,13 @@ def neighbour_pairs(px: DataFrame, keys: list[str] = [], values: tuple[str, ...]
     return wide.withColumn("x", F.explode(F.array(*sides))).select(*px.columns, "x.*").where(F.col(f"{values[0]}_next").isNotNull())
 
 
-def nearest_valid(points: DataFrame, valid: DataFrame, nx: int = 35, ny: int = 35) -> DataFrame:
+def nearest_valid(points: DataFrame, valid: DataFrame, nx: int = 35, ny: int = 35, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """For each point (``p``, ``r``, ``c``) the first valid cell in spiral order."""
     from tessera.functions.grid import spiral
 
     order = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in spiral(nx, ny)])
-    around = points.withColumn("s", F.explode(order)).select("p", (F.col("r") + F.col("s.dy")).alias("r"), (F.col("c") + F.col("s.dx")).alias("c"), F.col("s.n").alias("n"))
-    return around.join(valid.select("r", "c"), ["r", "c"]).groupBy("p").agg(F.min_by(F.struct("r", "c"), "n").alias("x")).select("p", "x.r", "x.c")
+    around = points.withColumn("s", F.explode(order)).select(*keys, "p", (F.col("r") + F.col("s.dy")).alias("r"), (F.col("c") + F.col("s.dx")).alias("c"), F.col("s.n").alias("n"))
+    return around.join(valid.select(*keys, "r", "c"), [*keys, "r", "c"]).groupBy(*keys, "p").agg(F.min_by(F.struct("r", "c"), "n").alias("x")).select(*keys, "p", "x.r", "x.c")
 
 
 def window_sums(px: DataFrame, keys: list[str], values: dict[str, Column], size: int, height: int, width: int) -> DataFrame:

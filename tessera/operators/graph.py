@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.cost import cost
+from tessera.functions.grid import completed
 from tessera.operators import kernels
 from tessera.operators.align import difference_cells
 from tessera.operators.focal import eroded, neighbour_pairs, reopened
@@ -27,6 +28,19 @@ def seam_edges(pair: DataFrame, method: str, keys: list[str] = []) -> DataFrame:
     return both.select(*keys, "r", "c", "dir", cost(method, F.col("dn") - F.col("dn_next"), F.col("dn_b") - F.col("dn_b_next")).alias("w"))
 
 
+def cell_costs(pair: DataFrame, method: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """A dense pair table with the costs of each cell's edges: ``right``, ``down``, and ``right0``, ``down0``
+    as if the neighbour had no data. Null beyond the grid."""
+    right = Window.partitionBy(*keys, "r").orderBy("c")
+    down = Window.partitionBy(*keys, "c").orderBy("r")
+    columns, zero = {}, F.lit(0).cast("long")
+    for side, over in (("right", right), ("down", down)):
+        a, b = F.lead("dn").over(over), F.lead("dn_b").over(over)
+        columns[side] = F.when(a.isNotNull(), cost(method, F.col("dn") - a, F.col("dn_b") - b))
+        columns[f"{side}0"] = F.when(a.isNotNull(), cost(method, F.col("dn") - zero, F.col("dn_b") - zero))
+    return pair.withColumns(columns)
+
+
 def _ends(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = t.column("r").to_numpy().astype(np.int64) * width + t.column("c").to_numpy()
     right = np.array([d == "r" for d in t.column("dir").to_pylist()])
@@ -81,7 +95,9 @@ def components(cells: DataFrame, keys: list[str], eight: bool = True, max_rounds
             break
     else:
         raise RuntimeError("labels still change")
-    named = labels.join(runs, [*keys, "id"])
+    named = labels.join(checkpointed(runs), [*keys, "id"])
+    links.unpersist()
+    runs.unpersist()
     return named.select(*keys, "r", F.explode(F.sequence("lo", "hi")).alias("c"), "label").withColumn("c", F.col("c").cast("int"))
 
 
@@ -137,22 +153,46 @@ def main_regions(labelled: DataFrame, keys: list[str], least: int = 1000) -> Dat
     return big.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "label"))).withColumn("regions", F.count("*").over(Window.partitionBy(*keys)))
 
 
-def without_minor_pieces(union: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+def chosen_regions(labelled: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
+    """The regions that go to one side of a seam: the smallest one above ``least`` cells; where there are
+    exactly three, it and the largest one."""
+    big = main_regions(labelled, keys, least)
+    return big.where((F.col("place") == F.col("regions")) | ((F.col("regions") == 3) & (F.col("place") == 1)))
+
+
+def without_minor_pieces(union: DataFrame, new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """A running union of footprints without those disconnected pieces of new minus old that are not
     the largest one."""
-    pieces = components(difference_cells(new, old).withColumn("one", F.lit(1)), ["one"], eight=False)
-    minor = pieces.join(main_regions(pieces, ["one"], 0).where("place > 1").select("label"), "label", "left_semi")
-    return union.join(minor.select("r", "c"), ["r", "c"], "left_anti")
+    pieces = components(difference_cells(new, old, tuple(keys)), keys, eight=False)
+    minor = pieces.join(main_regions(pieces, keys, 0).where("place > 1").select(*keys, "label"), [*keys, "label"], "left_semi")
+    return union.join(minor.select(*keys, "r", "c"), [*keys, "r", "c"], "left_anti")
 
 
-def dominant_in_box(labelled: DataFrame, boxes: DataFrame, keys: list[str], height: int, width: int, pad: int = 10) -> DataFrame:
-    """The component with most cells in each box widened by up to ``pad`` cells."""
+def dominant_in_box(labelled: DataFrame, boxes: DataFrame, keys: list[str], height: int, width: int, pad: int = 10, tile: int = 64) -> DataFrame:
+    """The component with most cells in each box widened by up to ``pad`` cells. Boxes and cells are dealt
+    into tiles, so they meet in an equi-join."""
     wide = boxes.select(*keys, F.col("label").alias("box"), F.greatest(F.lit(0), F.col("r0") - pad).alias("p0"), F.least(F.lit(height - 1), F.col("r1") + pad).alias("p1"), F.greatest(F.lit(0), F.col("c0") - pad).alias("q0"), F.least(F.lit(width - 1), F.col("c1") + pad).alias("q1"))
-    inside = wide.join(labelled, keys).where(F.col("r").between(F.col("p0"), F.col("p1")) & F.col("c").between(F.col("q0"), F.col("q1")))
+    at = lambda v: F.floor(F.col(v) / tile)
+    wide = wide.withColumn("ty", F.explode(F.sequence(at("p0"), at("p1")))).withColumn("tx", F.explode(F.sequence(at("q0"), at("q1"))))
+    dealt = labelled.withColumn("ty", at("r")).withColumn("tx", at("c"))
+    inside = wide.join(dealt, [*keys, "ty", "tx"]).where(F.col("r").between(F.col("p0"), F.col("p1")) & F.col("c").between(F.col("q0"), F.col("q1")))
     counted = inside.groupBy(*keys, "box", "label").agg(F.count("*").alias("n"))
     return counted.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "box").orderBy(F.desc("n"), "label"))).where("k = 1").drop("k")
 
 
+def outer_boxes(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """Boxes of the outer contours of set cells: of components that do not lie in a hole of another one.
+    They are those of the mask with its holes filled."""
+    grid = completed_mask(cells, keys, height, width)
+    filled = holes_filled(grid, keys, height, width).where("v = 1")
+    return component_sizes(components(filled, keys), keys)
+
+
+def completed_mask(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """A dense mask ``v`` of set cells."""
+    return completed(cells.select(*keys, "r", "c", F.lit(1).alias("v")), keys, height, width, "v")
+
+
 def seams_to_border(canvases: DataFrame, key: str, ends: tuple[tuple[int, int], tuple[int, int]], height: int, width: int, reach: int = 100) -> DataFrame:
     """``key``, ``r``, ``c`` of the seam cells of each canvas (``v``: 0 free, 1 seam, 9 blocked) after
     its two ends (row, col) have been drawn on to the border; a canvas is one group."""

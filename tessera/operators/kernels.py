@@ -121,14 +121,36 @@ def feather(mask: np.ndarray, size: int = 57) -> np.ndarray:
     return (((total + (1 << 31)) >> 32) / (size + 1)).astype(np.float32)
 
 
-def adaptive_feather(mask: np.ndarray, sizes: tuple[int, ...] = (65, 35, 25)) -> np.ndarray:
-    """The widest feather that fits the mask and leaves its border at 0; else the last."""
+def adaptive_feather(mask: np.ndarray, sizes: tuple[int, int] = (65, 25)) -> np.ndarray:
+    """The wide feather, or the narrow one if the wide one does not leave the border at 0."""
     for size in sizes:
-        if size // 2 < min(mask.shape):
-            w = feather(mask, size)
-            if not (w[0].any() or w[-1].any() or w[:, 0].any() or w[:, -1].any()):
-                return w
-    return w if size // 2 < min(mask.shape) else (mask > 0).astype(np.float32)
+        w = feather(mask, size)
+        if not (w[0].any() or w[-1].any() or w[:, 0].any() or w[:, -1].any()):
+            break
+    return w
+
+
+def eroded(mask: np.ndarray, size: int) -> np.ndarray:
+    """The least value over size by size; the mask's frame, and what lies outside, is 0."""
+    inner = np.zeros_like(mask)
+    inner[1:-1, 1:-1] = mask[1:-1, 1:-1]
+    half = size // 2
+    for axis in (0, 1):
+        pad = np.pad(inner, [(half, size - 1 - half) if k == axis else (0, 0) for k in (0, 1)])
+        total = np.cumsum(pad > 0, axis=axis, dtype=np.int64)
+        total = np.insert(total, 0, 0, axis=axis)
+        n = inner.shape[axis]
+        inner = ((np.take(total, np.arange(size, size + n), axis) - np.take(total, np.arange(n), axis)) == size).astype(mask.dtype)
+    return inner
+
+
+def dilated(values: np.ndarray, size: int) -> np.ndarray:
+    """The greatest value over size by size, anchored at size // 2."""
+    half = size // 2
+    for axis in (0, 1):
+        pad = np.pad(values, [(half, size - 1 - half) if k == axis else (0, 0) for k in (0, 1)])
+        values = np.lib.stride_tricks.sliding_window_view(pad, size, axis=axis).max(axis=-1)
+    return values
 
 
 def ssim(a: np.ndarray, b: np.ndarray, size: int = 7, full: int = 255) -> float:
@@ -149,8 +171,9 @@ def ssim(a: np.ndarray, b: np.ndarray, size: int = 7, full: int = 255) -> float:
     return float((((2 * ma * mb + c1) * (2 * vab + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean((0, 1)).mean())
 
 
-def poisson(source: np.ndarray, target: np.ndarray, mask: np.ndarray, rounds: int = 2000, tolerance: float = 1e-4) -> np.ndarray:
-    """The source's gradients inside the mask, the target's values on its edge (conjugate gradient).
+def poisson(source: np.ndarray, target: np.ndarray, mask: np.ndarray, tolerance: float = 1e-4) -> np.ndarray:
+    """The source's gradients inside the mask, the target's values on its edge (conjugate gradient, until
+    the mean residual is below the tolerance; more rounds than ten times the cells are an error).
 
     ``source`` and ``target``: (row, col) of one band. The grid's outer frame always keeps the target.
     """
@@ -176,9 +199,11 @@ def poisson(source: np.ndarray, target: np.ndarray, mask: np.ndarray, rounds: in
     res = np.where(inside, rhs - laplace(x), 0.0)
     p, rr = res.copy(), float((res * res).sum())
     stop = tolerance * tolerance * inside.sum()
-    for _ in range(rounds):
-        if rr <= stop:
-            break
+    left = 10 * int(inside.sum()) + 100
+    while rr > stop:
+        if not left:
+            raise RuntimeError("the fill does not converge")
+        left -= 1
         ap = np.where(inside, laplace(p), 0.0)
         step = rr / float((p * ap).sum())
         x += step * p

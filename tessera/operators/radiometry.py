@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.pixel import masked
+
 HI_PERCENT, LO_PERCENT = 10, 10
 
 
@@ -18,37 +20,45 @@ def no_data(px: DataFrame, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
     return px.groupBy(*keys).agg(F.when(F.max("dn") == 0, 1).otherwise(0).alias("no_data"))
 
 
-def differences(raw: DataFrame, ref: DataFrame, bands: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``band``, ``r``, ``c``, ``diff``: raw minus reference where the raw cell has data, else 0."""
-    kept = raw.where(F.col("band").isin(*bands)).join(no_data(raw), ["r", "c"])
-    other = ref.where(F.col("band").isin(*bands)).select("band", "r", "c", F.col("dn").alias("ref"))
-    return kept.join(other, ["band", "r", "c"]).select("band", "r", "c", F.when(F.col("no_data") == 0, F.col("dn") - F.col("ref")).otherwise(0).alias("diff"), "no_data")
+def differences(raw: DataFrame, ref: DataFrame, bands: tuple[int, ...] = (1, 2, 3), keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, ``band``, ``r``, ``c``, ``diff``: raw minus reference where the raw cell has data, else 0."""
+    at = [*keys, "r", "c"]
+    kept = raw.where(F.col("band").isin(*bands)).join(no_data(raw, tuple(at)), at)
+    other = ref.where(F.col("band").isin(*bands)).select(*keys, "band", "r", "c", F.col("dn").alias("ref"))
+    return kept.join(other, [*keys, "band", "r", "c"]).select(*keys, "band", "r", "c", F.when(F.col("no_data") == 0, F.col("dn") - F.col("ref")).otherwise(0).alias("diff"), "no_data")
 
 
-def thresholds(diff: DataFrame, hi_percent: int = HI_PERCENT, lo_percent: int = LO_PERCENT) -> DataFrame:
-    """Per band: shares of the largest gain and of the largest loss. One row for each band."""
+def thresholds(diff: DataFrame, hi_percent: int = HI_PERCENT, lo_percent: int = LO_PERCENT, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per band: shares of the largest gain and of the largest loss. One row for each key and band."""
     clamp = lambda p: max(0, min(100, p))
-    return diff.groupBy("band").agg(
+    return diff.groupBy(*keys, "band").agg(
         (F.greatest(F.lit(0), F.max("diff")) * clamp(hi_percent) / F.lit(100.0)).alias("hi"), (F.least(F.lit(0), F.min("diff")) * clamp(lo_percent) / F.lit(100.0)).alias("lo")
     )
 
 
-def change_codes(diff: DataFrame, limits: DataFrame) -> DataFrame:
+def change_codes(diff: DataFrame, limits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Codes 1 (loss beyond the limit), 2, 3 (no change), 4, 5 (gain beyond the limit)."""
     d = F.col("diff")
     code = F.when(d < F.col("lo"), 1).when(d < 0, 2).when(d == 0, 3).when(d <= F.col("hi"), 4).otherwise(5)
-    return diff.join(F.broadcast(limits), "band").withColumn("code", code)  # limits: a row for each band
+    return diff.join(F.broadcast(limits), [*keys, "band"]).withColumn("code", code)  # limits: a row for each scene and band
 
 
-def changed(codes: DataFrame) -> DataFrame:
-    return codes.groupBy("r", "c").agg(F.max(F.when(F.col("code").isin(1, 5), 1).otherwise(0)).alias("changed"), F.max("no_data").alias("no_data"))
+def changed(codes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return codes.groupBy(*keys, "r", "c").agg(F.max(F.when(F.col("code").isin(1, 5), 1).otherwise(0)).alias("changed"), F.max("no_data").alias("no_data"))
 
 
-def exclusion(change: DataFrame, river: DataFrame, border: DataFrame) -> DataFrame:
+def exclusion(change: DataFrame, river: DataFrame, border: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """1 where changed, water, outside the border or without data. Absent cells: no water, outside."""
-    out = change.join(river, ["r", "c"], "left").join(border, ["r", "c"], "left")
+    at = [*keys, "r", "c"]
+    out = change.join(river, at, "left").join(border, at, "left")
     hit = (F.col("changed") == 1) | (F.coalesce("river", F.lit(0)) == 1) | (F.coalesce("border", F.lit(0)) == 0) | (F.col("no_data") == 1)
-    return out.select("r", "c", F.when(hit, 1).otherwise(0).alias("excluded"))
+    return out.select(*at, F.when(hit, 1).otherwise(0).alias("excluded"))
+
+
+def without_masked(px: DataFrame, mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``px`` with masked cells (``mask`` 1) set to no data, so that histograms leave them out."""
+    met = px.join(mask.select(*keys, "r", "c", "mask"), [*keys, "r", "c"], "left")
+    return met.withColumn("dn", masked(F.col("dn"), F.coalesce("mask", F.lit(0)))).select(*px.columns)
 
 
 def histogram(px: DataFrame, keys: tuple[str, ...] = ("band",)) -> DataFrame:

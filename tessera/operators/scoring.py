@@ -37,9 +37,10 @@ def ssim_scores(pairs: DataFrame, keys: list[str], height: int, width: int, size
     return sums.groupBy(*keys).agg(F.sum(one).alias("score9"), F.count("*").alias("windows")).withColumn("ssim", F.col("score9") / (F.col("windows") * F.lit(1e9)))
 
 
-def pool_scores(patches: DataFrame, height: int, width: int, size: int = 7, tile: int | None = None) -> DataFrame:
-    """``patch``, ``scene_id``, ``score9``, ``windows``, ``ssim`` of every patch (``vec_id``, ``label``,
-    ``cells``) with every other one of its label, scored in blocks of ``tile`` by ``tile``."""
+def pool_scores(patches: DataFrame, height: int, width: int, size: int = 7, tile: int | None = None, asked: Column | None = None) -> DataFrame:
+    """``patch``, ``scene_id``, ``score9``, ``windows``, ``ssim`` of every asked patch (``vec_id``, ``label``,
+    ``cells``; a condition, all by default) with every other one of its label, scored in blocks of
+    ``tile`` by ``tile``."""
     tile = TILE if tile is None else tile
     windows = (height - size + 1) * (width - size + 1)
     kind = dict(patches.dtypes)["vec_id"]
@@ -49,7 +50,7 @@ def pool_scores(patches: DataFrame, height: int, width: int, size: int = 7, tile
         cells = t.column("cells").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), height, width)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         score = np.zeros((len(p), len(q)), np.int64)
-        for i in range(height - size + 1):
+        for i in range(height - size + 1 if score.size else 0):
             for j in range(width - size + 1):
                 a, b = (cells[at, i : i + size, j : j + size].reshape(len(at), -1) for at in (p, q))
                 sums = a.sum(1)[:, None], b.sum(1)[None], (a * a).sum(1)[:, None], (b * b).sum(1)[None], a @ b.T
@@ -61,6 +62,8 @@ def pool_scores(patches: DataFrame, height: int, width: int, size: int = 7, tile
     tiles = patches.where("label IS NOT NULL").groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     own = patches.join(tiles, "label").withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = own.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    if asked is not None:
+        dealt = dealt.where((F.col("side") == 1) | asked)
     mine = F.col("side") == 0
     dealt = dealt.select("label", "vec_id", "cells", "side", F.when(mine, F.col("tile")).otherwise(F.col("other")).alias("x"), F.when(mine, F.col("other")).otherwise(F.col("tile")).alias("y"))
     found = dealt.groupBy("label", "x", "y").applyInArrow(run, f"patch {kind}, scene_id {kind}, score9 long, windows long")

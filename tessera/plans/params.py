@@ -9,6 +9,10 @@ from tessera.functions.cost import COSTS
 from tessera.functions.pixel import image_type
 
 
+#: Names that parameter files use for some of the fields (fixed values).
+NAMES = {"resampleTo": "resample_to", "trueBits": "true_bits", "StartLetter": "first_letter"}
+
+
 @dataclass(frozen=True)
 class Params:
     """``res`` and ``pan_res`` in map units; ``true_bits`` the sensor's depth; ``kernel`` the erosion's
@@ -42,6 +46,6 @@ class Params:
     @classmethod
     def load(cls, text: str) -> "Params":
         """From a JSON object; values may be strings, unknown keys are ignored."""
-        given = json.loads(text)
+        given = {NAMES.get(k, k): v for k, v in json.loads(text).items()}
         kinds = {f.name: type(getattr(cls(), f.name)) for f in fields(cls)}
         return cls(**{k: kinds[k](v) for k, v in given.items() if k in kinds})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.grid import dense
+
 SIDE = 32
 
 
@@ -27,9 +29,20 @@ def scene_ids(spark: SparkSession, sf_dir: str) -> list[int]:
     return sorted(r[0] for r in table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL").select("l_linenumber").distinct().collect())
 
 
-def px_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scene of 64 by 64 cells."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_partkey", F.lit(64)).cast("int").alias("r"), F.pmod("l_suppkey", F.lit(64)).cast("int").alias("c")).agg(F.max(F.floor("l_quantity") * 5).cast("long").alias("dn"))
+def scenes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scene_id`` of every scene."""
+    return table(spark, sf_dir, "lineitem").where("l_linenumber IS NOT NULL").select(F.col("l_linenumber").alias("scene_id")).distinct()
+
+
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scene_id``, ``r``, ``c`` of every cell of every scene, with two cloud codes (0 or 10) that its
+    rows give: ``cell``, scattered over about a sixth of the cells, and ``block``, in 8 by 8 blocks."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("scene_id"), F.pmod("l_orderkey", F.lit(SIDE)).cast("int").alias("r"), F.pmod("l_partkey", F.lit(SIDE)).cast("int").alias("c")).agg(F.sum("l_suppkey").alias("s"))
+    cells = dense(spark, scenes_of(spark, sf_dir), SIDE, SIDE).join(rows, ["scene_id", "r", "c"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    br, bc = F.floor(F.col("r") / 8), F.floor(F.col("c") / 8)
+    block = F.sum("s").over(Window.partitionBy("scene_id", br, bc)) + br * 3 + bc * 5 + F.col("scene_id")
+    cell = F.col("s") + F.col("r") * 7 + F.col("c") * 3 + F.col("scene_id") * 11
+    return cells.select("scene_id", "r", "c", F.when(cell % 17 < 3, 10).otherwise(0).alias("cell"), F.when(block % 6 == 0, 10).otherwise(0).alias("block"))
 
 
 def px_bands(spark: SparkSession, sf_dir: str, *scenes: int) -> DataFrame:
@@ -44,17 +57,6 @@ def px_bands(spark: SparkSession, sf_dir: str, *scenes: int) -> DataFrame:
     return wide.select("scene_id", "r", "c", F.expr("stack(4, 1, b1, 2, b2, 3, b3, 4, b4) AS (band, dn)")).select("scene_id", "band", "r", "c", "dn")
 
 
-def mask_cell(cells: DataFrame) -> DataFrame:
-    """Cloud codes scattered over about a sixth of the cells."""
-    return cells.withColumn("code", F.when((F.col("r") * 7 + F.col("c") * 3 + F.col("scene_id") * 11) % 17 < 3, 10).otherwise(0))
-
-
-def mask_block(cells: DataFrame) -> DataFrame:
-    """Cloud codes in separate 8 by 8 blocks."""
-    block = F.floor(F.col("r") / 8) * 3 + F.floor(F.col("c") / 8) * 5 + F.col("scene_id")
-    return cells.withColumn("code", F.when(block % 6 == 0, 10).otherwise(0))
-
-
 def px_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id``, ``label``, ``r``, ``c``, ``dn``: vectors of 64 as 8 by 8 patches."""
     value = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 1) * 127.5))).cast("long")

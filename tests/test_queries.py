@@ -35,51 +35,41 @@ def test_other_queries_run(spark, name):
 
 
 def test_pool_scores_cover_the_whole_label(spark):
+    from pyspark.sql import functions as F
     from tessera.operators import scoring
     from tessera.sources import adapters
 
     table = adapters.patch_embedding(spark, SF)
     label = {r["vec_id"]: r["label"] for r in table.collect()}
     want = {(a, b) for a in label for b in label if a != b and label[a] == label[b]}
-    whole = {(r["patch"], r["scene_id"]): r["score9"] for r in QUERIES["ssim_scores_pool"](spark, SF).collect()}
+    whole = {(r["patch"], r["scene_id"]): r["score9"] for r in scoring.pool_scores(table, 8, 8).collect()}
     assert set(whole) == want
     assert {(r["patch"], r["scene_id"]): r["score9"] for r in scoring.pool_scores(table, 8, 8, tile=20).collect()} == whole
+    asked = scoring.pool_scores(table, 8, 8, tile=20, asked=F.col("vec_id") % 20 == 0).collect()
+    assert {(r["patch"], r["scene_id"]): r["score9"] for r in asked} == {k: v for k, v in whole.items() if k[0] % 20 == 0}
+    assert {(r["patch"], r["scene_id"]): r["score9"] for r in QUERIES["ssim_scores"](spark, SF).collect()} == {k: v for k, v in whole.items() if k[0] % 20 == 0}
 
 
-def test_spiral_search_starts_from_every_cell(spark, con):
-    best = {}
-    for s, r, c, q in con.sql("select l_linenumber, l_orderkey % 32, l_partkey % 32, l_quantity from lineitem").fetchall():
-        best[s, int(r), int(c)] = max(best.get((s, int(r), int(c)), 0), int(q) * 5)
-    valid = [(r, c) for s, r, c in best if s == 1 and best[s, r, c] > 235 and best.get((2, r, c), 0) > 235]
-    got = {r["p"]: (r["r"], r["c"]) for r in QUERIES["spiral_search_all"](spark, SF).collect()}
-    assert set(got) == set(range(1024))
-    for p, (r, c) in got.items():
-        ring = lambda y, x, p=p: max(abs(y - p // 32), abs(x - p % 32))
-        assert (r, c) in valid and ring(r, c) == min(ring(*v) for v in valid)
+def test_every_query_takes_every_scene(spark):
+    """What is keyed by scenes or pairs has them all; nothing is left out by number."""
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+    assert len(ids) > 3
+    for name in ("seam_path", "edge_cost_a6", "feather_blend", "coverage_roles", "mask_update", "erode", "spiral_search", "histmatch_lut"):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.01")
+        key = "pair_id" if "pair_id" in rows.columns else "scene_id"
+        found = sorted(r[0] for r in rows.select(key).distinct().collect())
+        assert found == (ids[:-1] if key == "pair_id" else ids), name
 
 
-def test_mosaic_and_pairs_take_every_scene(spark, tmp_path):
+def test_mosaic_takes_every_scene(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    small = "/root/testdata/sf0.01"
-    ids = [r[0] for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
-    assert len(ids) > 3
-    for name in ("seam_path", "seam_to_border", "patch_fill"):
-        assert sorted(r[0] for r in QUERIES[name](spark, small).select("pair_id").distinct().collect()) == ids[:-1]
     # only the last scene has data in the lower rows, so nothing else can fill them
-    rows = spark.read.parquet(f"{small}/lineitem.parquet")
-    rows.where((F.col("l_linenumber") == ids[-1]) | (F.col("l_orderkey") % 32 < 12)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    last = rows.agg(F.max("l_linenumber")).first()[0]
+    rows.where((F.col("l_linenumber") == last) | (F.col("l_orderkey") % 32 < 12)).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["running_mosaic"](spark, str(tmp_path))
-    assert got.where("r >= 12 AND dn > 0").count() > 0
-
-
-@pytest.mark.parametrize(("name", "pair"), [*((n, 1) for n in QUERIES if n.startswith("edge_cost_") and n in SQL), ("cheapest_edges", 1), ("seam_distance", 1), ("feather_blend", 1), ("pan_blend", 3)])
-def test_pairs_hold_the_single_pair(spark, name, pair):
-    rows = QUERIES[f"{name}_pairs"](spark, SF)
-    assert {r[0] for r in rows.select("pair_id").distinct().collect()} >= {1, 3, 5}
-    one, old = rows.where(f"pair_id = {pair}"), QUERIES[name](spark, SF)
-    columns = [c for c in old.columns if c != "pair_id"]
-    assert sorted(map(repr, one.select(*columns).collect())) == sorted(map(repr, old.select(*columns).collect()))
+    assert got.where("r >= 25 AND dn > 0").count() > 0
 
 
 def test_blend_of_shifted_scenes(spark):
