@@ -393,7 +393,7 @@ def _members(entries: DataFrame, classes: DataFrame, roots: DataFrame | None) ->
     mixed = found.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     # a hot key's entries must not meet: each list's row stands SALTS times
     salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kept = found.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    kept = found.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["key", "salt"]).drop("salt").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     own = kept.groupBy("cls").agg(F.collect_list("key").alias("keys")).join(classes.select("cls", "sketch"), "cls")
     dealt = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "cls", "n", "root", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
     return dealt.join(own, "cls")
