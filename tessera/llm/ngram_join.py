@@ -70,7 +70,7 @@ SKETCH_LEAST = 322
 #: Lists with more sets than this are compared by sketches; shorter ones pair all their sets.
 SHORT_LIST = 6
 #: Sets of a list that are compared in one task.
-TILE = 4096
+TILE = 2048
 #: Sets, and bytes of them, that a tile of a component holds when links are counted.
 COUNT_TILE = 2048
 COUNT_BYTES = 16 << 20
